@@ -81,14 +81,15 @@ def exact_dedup(
     keepers = (
         suspects.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.first("text").alias("kept_text"))
     )
-    collided = suspects.join(keepers, "digest").filter(F.col("text") != F.col("kept_text")).select("digest").distinct()
-    collided = workspace.store(collided, "collided")
+    collided = suspects.join(keepers, "digest").filter(F.col("text") != F.col("kept_text")).select("digest")
+    collided = workspace.store(collided, "collided").distinct()
 
     placed = rows.select("id", "digest").join(hits, "digest", "left")
-    if not collided.isEmpty():
+    if collided.isEmpty():
+        workspace.drop("suspects")
+    else:
         placed = placed.join(collided, "digest", "left_anti").unionByName(_by_text(suspects.join(collided, "digest"), index.pick))
     keep_id = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id"))
-    workspace.drop("suspects") if collided.isEmpty() else None
     return placed.select(
         F.col("id").alias(id_col),
         keep_id.alias("keep_id"),

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import canonical_turns, format_turns, gather_messages, read_back
+from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .near_dedup import NearDedupParams, near_dedup
 from .packing import Limits, pack
 from .token_counts import token_prefixes
 
@@ -21,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), NearDedupParams(percent=85))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(table(spark, sf_dir, "documents"), keep="max")
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -76,6 +82,41 @@ from rows group by conv_id
 """
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    named = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    n_hit = F.size("hits").cast("long")
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(named.cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+OP9_SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+wide as (select item_id, w, least(10, len(w)) as k from b where len(w) > 0),
+windows as (select distinct item_id, k, array_to_string(w[s + 1 : s + k], ' ') as g
+            from (select item_id, w, k, unnest(range(len(w) - k + 1)) as s from wide)),
+widths as (select distinct k from wide),
+grams as (select doc_id, s, k, array_to_string(w[s + 1 : s + k], ' ') as g
+          from (select doc_id, w, k, unnest(range(len(w) - k + 1)) as s from d, widths where len(w) >= k)),
+found as (select doc_id, item_id, s, k from grams join windows using (k, g)),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + k)) as p from found) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as ids
+          from (select distinct doc_id, item_id::varchar as i from found) group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (doc_id) left join named using (doc_id)
+"""
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packing = pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID, PACK_LIMITS)
     return packed_rows(packing)
@@ -89,10 +130,12 @@ def packed_rows(packing) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_chat_format": op7_chat_format,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op7_chat_format": OP7_SQL}
+ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op7_chat_format": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL}
