@@ -85,7 +85,9 @@ def sketches(docs: DataFrame, params: NearDedupParams) -> DataFrame:
 
 
 def inverted_lists(reps: DataFrame) -> DataFrame:
-    """(value, id, n): for each set its rarest retained values, as many as ``prefix`` says.
+    """(value, id, n, lone): for each set its rarest retained values, as many as ``prefix`` says.
+
+    ``lone`` counts the retained values of the set that no other sketch retains.
 
     The order is by number of sets that retain a value, then by value. A value that only one sketch retains comes first
     but lists nothing, so it only uses up places.
@@ -100,9 +102,14 @@ def inverted_lists(reps: DataFrame) -> DataFrame:
         reps.select("id", "n", "prefix", "sketch")
         .join(shared, "id")
         .filter(places > 0)
-        .select("id", "n", F.explode(F.slice("shared", F.lit(1), places)).alias("s"))
+        .select(
+            "id",
+            "n",
+            (F.size("sketch") - F.size("shared")).alias("lone"),
+            F.explode(F.slice("shared", F.lit(1), places)).alias("s"),
+        )
     )
-    return listed.select(F.col("s.value").alias("value"), "id", "n")
+    return listed.select(F.col("s.value").alias("value"), "id", "n", "lone")
 
 
 def _likely(params: NearDedupParams):
@@ -186,7 +193,7 @@ class _Linker:
         else:
             members = (
                 self.lists.join(stars, F.col("id") == F.col("node"), "left")
-                .select("value", "id", "n", F.coalesce("component", "id").alias("comp"))
+                .select("value", "id", "n", "lone", F.coalesce("component", "id").alias("comp"))
             )
         by_component = members.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"))
         mixed = (
@@ -209,17 +216,26 @@ class _Linker:
         return best.select(F.col("id").alias("a"), F.col("b.centre").alias("b"))
 
     def _all_pairs(self, members: DataFrame, mixed: DataFrame) -> DataFrame:
-        """All pairs of one list but different components, each once; at most one of a pair is in the list's main part."""
-        t = self.params.percent
+        """All pairs of one list but different components, each once; at most one of a pair is in the list's main part.
+
+        Left out are pairs that sizes and lone values alone keep below the threshold: of whole sets, an intersection holds no
+        lone value and a union holds all of both; of sketches, the least values of a union outside the intersection are
+        as many as the lone values of either sketch at least, and at most (1 - t) / (1 + t) of both sizes.
+        """
+        t, k = self.params.percent, self.params.k
         here = members.join(mixed.select("value", "major"), "value")
-        minor = here.filter("comp <> major").select("value", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
+        minor = here.filter("comp <> major").select("value", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "lone", "comp")))
+        common, common_x = F.col("n") - F.col("lone"), F.col("n_x") - F.col("lone_x")
+        whole = F.least(common, common_x) * 100 >= (F.greatest(common, common_x) + F.col("lone") + F.col("lone_x")) * t
+        sketched = F.greatest("lone", "lone_x") * (100 + t) <= (F.col("n") + F.col("n_x")) * (100 - t)
         pairs = minor.join(here, "value").filter(
-            (F.col("cx") != F.col("comp"))
-            & ((F.col("comp") == F.col("major")) | (F.col("x") < F.col("id")))
-            & (F.col("nx") * 100 >= F.col("n") * t)
-            & (F.col("n") * 100 >= F.col("nx") * t)
+            (F.col("comp_x") != F.col("comp"))
+            & ((F.col("comp") == F.col("major")) | (F.col("id_x") < F.col("id")))
+            & (F.col("n_x") * 100 >= F.col("n") * t)
+            & (F.col("n") * 100 >= F.col("n_x") * t)
+            & F.when(F.greatest("n", "n_x") <= k, whole).otherwise(sketched)
         )
-        return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+        return pairs.select(F.least("id_x", "id").alias("a"), F.greatest("id_x", "id").alias("b")).distinct()
 
     def _links(self, pairs: DataFrame, step: int) -> DataFrame:
         side = self.reps.select("id", "n", "sketch")

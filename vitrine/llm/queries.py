@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .chat_format import canonical_turns, format_turns, gather_messages, read_back
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
 from .near_dedup import NearDedupParams, near_dedup
 from .packing import Limits, pack
 from .token_counts import token_prefixes
@@ -27,6 +28,27 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), NearDedupParams(percent=85))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+
+
+OP4_SQL = """
+with pages as (select distinct coalesce(source, '') as host, text from documents where text is not null),
+totals as (select host, count(*) as total from pages group by host),
+lines as (select host, line, count(*) as n
+          from (select distinct host, text, line from (select host, text, unnest(string_split(text, chr(10))) as line from pages)
+                where trim(line, ' ') <> '') group by host, line),
+found as (select host, list(line) as bad from lines join totals using (host) where n >= 5 and n > total * 0.1::double group by host),
+d as (select doc_id, text, string_split(text, chr(10)) as l, coalesce(bad, []) as bad
+      from documents left join found on host = coalesce(source, ''))
+select doc_id, coalesce(len(l), 0) as n_lines, coalesce(len(list_filter(l, lambda x: list_contains(bad, x))), 0) as n_dropped,
+       sha256(coalesce(array_to_string(list_filter(l, lambda x: not list_contains(bad, x)), chr(10)), '')) as text_sha256
+from d
+"""
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(table(spark, sf_dir, "documents"), keep="max")
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -131,6 +153,7 @@ def packed_rows(packing) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_chat_format": op7_chat_format,
@@ -138,4 +161,4 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op7_chat_format": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL}
+ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op7_chat_format": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL}
