@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .chat_format import canonical_turns, format_turns, gather_messages, read_back
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .langid import LangIdParams, fit, identify
 from .line_dedup import line_dedup
 from .near_dedup import NearDedupParams, near_dedup
 from .packing import Limits, pack
@@ -28,6 +29,13 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), NearDedupParams(percent=85))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = fit(docs.filter(~held_out).withColumnRenamed("doc_id", "id"), LangIdParams())
+    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup(table(spark, sf_dir, "documents"))
     text = F.coalesce("text", F.lit(""))
@@ -153,6 +161,7 @@ def packed_rows(packing) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_counts": op6_token_counts,
