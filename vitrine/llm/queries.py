@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality
 from .chat_format import canonical_turns, format_turns, gather_messages, read_back
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
@@ -29,6 +30,13 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), NearDedupParams(percent=85))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")
+    model = quality.fit(docs.withColumnRenamed("doc_id", "id"), labels)
+    return quality.classify(docs, model)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -161,6 +169,7 @@ def packed_rows(packing) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
