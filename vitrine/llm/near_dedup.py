@@ -216,24 +216,36 @@ class _Linker:
         return best.select(F.col("id").alias("a"), F.col("b.centre").alias("b"))
 
     def _all_pairs(self, members: DataFrame, mixed: DataFrame) -> DataFrame:
-        """All pairs of one list but different components, each once; at most one of a pair is in the list's main part.
+        """Likely pairs of one list but different components, each once; at most one of a pair is in the list's main part.
 
-        Left out are pairs that sizes and lone values alone keep below the threshold: of whole sets, an intersection holds no
-        lone value and a union holds all of both; of sketches, the least values of a union outside the intersection are
-        as many as the lone values of either sketch at least, and at most (1 - t) / (1 + t) of both sizes.
+        The cheap tests come first: sizes, then lone values (of whole sets, an intersection holds no lone value and a
+        union holds all of both). What is left must share as many retained values as a linked pair does at the least, so
+        a list of sets that are alike, but not alike enough, puts out next to nothing.
         """
-        t, k = self.params.percent, self.params.k
-        here = members.join(mixed.select("value", "major"), "value")
-        minor = here.filter("comp <> major").select("value", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "lone", "comp")))
+        t, k, least = self.params.percent, self.params.k, self.params.overlap
+        here = (
+            members.join(mixed.select("value", "major"), "value")
+            .join(self.reps.select("id", "sketch"), "id")
+            .select("value", "id", "n", "lone", "comp", "major", "sketch")
+        )
+        minor = here.filter("comp <> major").select(
+            "value", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "lone", "comp", "sketch"))
+        )
         common, common_x = F.col("n") - F.col("lone"), F.col("n_x") - F.col("lone_x")
-        whole = F.least(common, common_x) * 100 >= (F.greatest(common, common_x) + F.col("lone") + F.col("lone_x")) * t
-        sketched = F.greatest("lone", "lone_x") * (100 + t) <= (F.col("n") + F.col("n_x")) * (100 - t)
+        whole = F.greatest("n", "n_x") <= k
+        possible = F.least(common, common_x) * 100 >= (F.greatest(common, common_x) + F.col("lone") + F.col("lone_x")) * t
+        shared = F.size(F.array_intersect("sketch", "sketch_x"))
+        # of whole sets t / (1 + t) of both sizes; else at most (1 - t) / (1 + t) of both sizes is outside
+        needed = F.when(whole, (F.col("n") + F.col("n_x")) * t / (100 + t)).otherwise(
+            F.greatest(F.lit(least), k - (F.col("n") + F.col("n_x")) * (100 - t) / (100 + t))
+        )
         pairs = minor.join(here, "value").filter(
             (F.col("comp_x") != F.col("comp"))
             & ((F.col("comp") == F.col("major")) | (F.col("id_x") < F.col("id")))
             & (F.col("n_x") * 100 >= F.col("n") * t)
             & (F.col("n") * 100 >= F.col("n_x") * t)
-            & F.when(F.greatest("n", "n_x") <= k, whole).otherwise(sketched)
+            & (~whole | possible)
+            & (shared >= needed - 1e-6)
         )
         return pairs.select(F.least("id_x", "id").alias("a"), F.greatest("id_x", "id").alias("b")).distinct()
 
