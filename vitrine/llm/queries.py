@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import lm_score, quality
 from .chat_format import canonical_turns, format_turns, gather_messages, read_back
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
@@ -120,6 +120,22 @@ from rows group by conv_id
 """
 
 
+def op8_katz_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    model = lm_score.train(docs.filter(~held_out))
+    scored = lm_score.score(docs, model)
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     named = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -175,6 +191,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_chat_format": op7_chat_format,
+    "op8_katz_lm_score": op8_katz_lm_score,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
