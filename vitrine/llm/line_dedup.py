@@ -28,15 +28,16 @@ def line_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     host: Column | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id_col, text_col, n_lines, n_dropped) for every row: the text without its host's boilerplate lines.
+    """(id_col, text_col, n_lines, n_dropped, *carry) for every row: the text without its host's boilerplate lines.
 
     Rows of one host with equal texts are one page, so copies of a page do not turn its lines into boilerplate. A line
     counts once per page however often it stands there, and all its places go. Blank lines stay and never count. ``host``
     defaults to the column ``source``; pages of a null host make up a host of their own. Null texts stay null with no
     lines; an empty text has one line; a page whose lines all go has an empty text. Rows repeated with one id lose the lines
-    of each other's places only where their texts are equal. An empty table gives an empty result. Other columns are not
-    read.
+    of each other's places only where their texts are equal. An empty table gives an empty result. Other columns are
+    not read, but for those in ``carry``, which stay as they are.
 
     Only 64-bit hashes of lines and texts are shuffled for the counts, made distinct within tasks first; a page's text is
     shuffled once, to meet the places of its own boilerplate lines.
@@ -47,6 +48,7 @@ def line_dedup(
         F.col(text_col).alias("text"),
         F.coalesce(host.cast("string"), F.lit("")).alias("host"),
         F.xxhash64(F.col(text_col)).alias("page"),
+        F.struct(*(F.col(c) for c in carry)).alias("carried") if carry else F.lit(None).alias("carried"),
     )
     key = lambda line: F.when(F.trim(line) != "", F.xxhash64(line))
     keyed = rows.filter("text is not null").select("id", "host", "page", F.transform(F.split("text", "\n"), key).alias("keys"))
@@ -61,4 +63,5 @@ def line_dedup(
         F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(text_col),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        *(F.col("carried")[c].alias(c) for c in carry),
     )
