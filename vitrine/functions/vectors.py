@@ -27,7 +27,8 @@ def cosine_distance(a: Column, b: Column, norm_a: Column | None = None, norm_b:
     """1 - cosine, the cosine held within [-1, 1]; NaN where a vector is zero, null where one is null."""
     size = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
     cosine = F.try_divide(dot(a, b), size)
-    return F.when(size == 0, F.lit(float("nan"))).otherwise(1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+    held = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))  # these two pass over nulls
+    return F.when(size == 0, F.lit(float("nan"))).when(cosine.isNotNull(), 1 - held)
 
 
 def normalise(a: Column) -> Column:
