@@ -4,7 +4,7 @@ import sys
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 
 
@@ -30,6 +30,7 @@ def spark():
 def duck():
     """DuckDB with the smallest test tables as views."""
     import duckdb
+    from helpers import SMALL
 
     connection = duckdb.connect()
     for name in (
@@ -37,23 +38,3 @@ def duck():
     ).split():
         connection.sql(f"create view {name} as select * from '{SMALL}/{name}.parquet'")
     return connection
-
-
-SMALL = "/root/testdata/sf0.001"
-
-
-def told(frame):
-    """Rows as sorted tuples of strings, columns by name."""
-    def cell(v):
-        if v is None or (isinstance(v, float) and v != v):
-            return "null"
-        if isinstance(v, float):
-            return f"{v:.6g}"
-        return str(list(v)) if hasattr(v, "__len__") and not isinstance(v, str) else str(v)
-
-    columns = sorted(frame.columns)
-    return columns, sorted(tuple(map(cell, row)) for row in frame[columns].itertuples(index=False))
-
-
-def same(spark, duck, query, sql):
-    assert told(query(spark, SMALL).toPandas()) == told(duck.sql(sql).df())

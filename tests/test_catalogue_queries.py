@@ -1,5 +1,5 @@
 import pytest
-from conftest import SMALL, same
+from helpers import SMALL, same
 
 from vitrine.plans.catalogue_queries import ORACLE_SQL, QUERIES
 
