@@ -119,7 +119,7 @@ def test_quality_on_held_out_labels(spark):
 
 
 def test_quality_edges(documents):
-    docs = documents([None, "", "   ", "some plain words of a text. " * 20, "BUY!! NOW!! " * 30])
+    docs = documents([None, "", "   ", " ".join(f"plain{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9)), "BUY!! NOW!! " * 30])
     model = quality.fit(docs.withColumnRenamed("doc_id", "id"))
     got = {r["doc_id"]: r["kept"] for r in quality.classify(docs, model).collect()}
     assert got[0] and got[1] and got[2] and got[3]

@@ -34,10 +34,11 @@ class LangIdParams:
 
 
 def letters(texts: pa.Array) -> pa.Array:
-    """Lists of lower-case words, runs of letters, of each text."""
+    """Lists of lower-case words, runs of letters, of each text; null for texts without one."""
     lowered = pc.utf8_lower(texts)
     spaced = pc.replace_substring_regex(lowered, r"\P{L}+", " ")
-    return pc.utf8_split_whitespace(pc.utf8_trim_whitespace(spaced))
+    trimmed = pc.utf8_trim_whitespace(spaced)
+    return pc.utf8_split_whitespace(pc.if_else(pc.equal(trimmed, ""), None, trimmed))
 
 
 def _distinct_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
