@@ -85,7 +85,7 @@ def sketches(docs: DataFrame, params: NearDedupParams) -> DataFrame:
 
 
 def inverted_lists(reps: DataFrame) -> DataFrame:
-    """(value, id, n, lone): for each set its rarest retained values, as many as ``prefix`` says.
+    """(id, n, lone, listed): for each set its rarest retained values, as many as ``prefix`` says; a list has its holders.
 
     ``lone`` counts the retained values of the set that no other sketch retains.
 
@@ -106,10 +106,10 @@ def inverted_lists(reps: DataFrame) -> DataFrame:
             "id",
             "n",
             (F.size("sketch") - F.size("shared")).alias("lone"),
-            F.explode(F.slice("shared", F.lit(1), places)).alias("s"),
+            F.transform(F.slice("shared", F.lit(1), places), lambda s: s["value"]).alias("listed"),
         )
     )
-    return listed.select(F.col("s.value").alias("value"), "id", "n", "lone")
+    return listed
 
 
 def _likely(params: NearDedupParams):
@@ -167,7 +167,8 @@ class _Linker:
     def __init__(self, texts: DataFrame, reps: DataFrame, params: NearDedupParams, workspace: Workspace):
         self.texts, self.params, self.workspace = texts, params, workspace
         self.reps = reps
-        self.lists = workspace.store(inverted_lists(reps), "lists")
+        self.held = workspace.store(inverted_lists(reps), "lists")
+        self.lists = self.held.select("id", "n", "lone", F.explode("listed").alias("value"))
 
     def components(self) -> DataFrame:
         """(node, component) of sets that are linked to one with a smaller id."""
@@ -219,22 +220,26 @@ class _Linker:
         """Likely pairs of one list but different components, each once; at most one of a pair is in the list's main part.
 
         The cheap tests come first: sizes, then lone values (of whole sets, an intersection holds no lone value and a
-        union holds all of both). What is left must share as many retained values as a linked pair does at the least, so
-        a list of sets that are alike, but not alike enough, puts out next to nothing.
+        union holds all of both). A pair counts only in the first list that it meets in, and only where the k least values
+        of its union allow a link, so a list of sets that are alike, but not alike enough, puts out next to nothing.
         """
         t, k, least = self.params.percent, self.params.k, self.params.overlap
+        sides = self.reps.select("id", "sketch").join(self.held.select("id", "listed"), "id")
         here = (
             members.join(mixed.select("value", "major"), "value")
-            .join(self.reps.select("id", "sketch"), "id")
-            .select("value", "id", "n", "lone", "comp", "major", "sketch")
+            .join(sides, "id")
+            .select("value", "id", "n", "lone", "comp", "major", "sketch", "listed")
         )
         minor = here.filter("comp <> major").select(
-            "value", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "lone", "comp", "sketch"))
+            "value", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "lone", "comp", "sketch", "listed"))
         )
         common, common_x = F.col("n") - F.col("lone"), F.col("n_x") - F.col("lone_x")
         whole = F.greatest("n", "n_x") <= k
         possible = F.least(common, common_x) * 100 >= (F.greatest(common, common_x) + F.col("lone") + F.col("lone_x")) * t
-        shared = F.size(F.array_intersect("sketch", "sketch_x"))
+        first_met = F.get(F.array_intersect("listed", "listed_x"), F.lit(0)) == F.col("value")
+        shared = F.array_intersect("sketch", "sketch_x")
+        least_of_both = F.slice(F.sort_array(F.array_union("sketch", "sketch_x")), 1, k)
+        among_least = F.size(F.array_intersect(shared, least_of_both))
         # of whole sets t / (1 + t) of both sizes; else at most (1 - t) / (1 + t) of both sizes is outside
         needed = F.when(whole, (F.col("n") + F.col("n_x")) * t / (100 + t)).otherwise(
             F.greatest(F.lit(least), k - (F.col("n") + F.col("n_x")) * (100 - t) / (100 + t))
@@ -245,7 +250,9 @@ class _Linker:
             & (F.col("n_x") * 100 >= F.col("n") * t)
             & (F.col("n") * 100 >= F.col("n_x") * t)
             & (~whole | possible)
-            & (shared >= needed - 1e-6)
+            & first_met
+            & (F.size(shared) >= needed - 1e-6)
+            & (whole | (among_least >= needed - 1e-6))
         )
         return pairs.select(F.least("id_x", "id").alias("a"), F.greatest("id_x", "id").alias("b")).distinct()
 
