@@ -219,3 +219,30 @@ def test_hdbscan_finds_two_groups(spark):
     label = {r["id"]: r["label"] for r in cluster.hdbscan(df).collect()}
     assert len({label[i] for i in range(12)}) == 1 and len({label[i] for i in range(12, 24)}) == 1
     assert label[0] != label[12] and label[24] == label[25] == -1
+
+
+def test_folder_ingestion(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, data in (("a.jpg", b"ok"), ("b.jpg", b"x"), ("c.mp4", b"x")):
+        (folder / name).write_bytes(data)
+
+    def model(content: bytes) -> int:
+        return 10 // (len(content) - 1)
+
+    pics = spark.createDataFrame([(1, "a.jpg"), (2, "b.jpg"), (3, "gone.jpg")], "id long, filename string")
+    contents = spark.read.format("binaryFile").load(str(folder)).select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+    none = tables.empty(spark, "image_processing_status")
+    out = ingest.ingest_folder(pics, contents, none, model, "long", "len")
+    assert {r["image_id"]: r["status"] for r in out.collect()} == {"1": "done", "2": "failed", "3": "failed"}
+    assert ingest.outcome_tables(out, "read")["processing_errors"].count() == 2
+    for _ in range(2):
+        query = ingest.stream_folder(spark, str(folder), model, "long", "len", str(tmp_path / "out"), str(tmp_path / "check"))
+        query.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert {r["image_id"]: r["result"] for r in got.collect()} == {"a.jpg": 10, "b.jpg": None}
+
+
+def test_structured_description(spark):
+    got = spark.range(1).select(text.structured_description(F.lit('Sure: {"description": "d", "tags": ["x"]} ok')).alias("d")).first()["d"]
+    assert (got["description"], got["tags"], got["template"]) == ("d", ["x"], None)

@@ -63,3 +63,12 @@ def polygon(box: Column) -> Column:
 
 def is_video(name: Column) -> Column:
     return F.endswith(F.lower(name), F.lit(".mp4"))
+
+
+#: What a structured description may hold.
+DESCRIPTION = "description string, template string, emotions array<string>, concepts array<string>, tags array<string>"
+
+
+def structured_description(answer: Column) -> Column:
+    """The JSON object in a model's answer, text around it left out; null where there is none."""
+    return F.from_json(F.regexp_extract(answer, r"(?s)\{.*\}", 0), DESCRIPTION)

@@ -71,3 +71,44 @@ def latest_metrics(metrics: DataFrame) -> DataFrame:
 def merge_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows with those of the new rows' keys replaced."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def outcome_tables(outcomes: DataFrame, stage: str) -> dict[str, DataFrame]:
+    """Status, errors and metrics of outcomes; they share one computation, so store the outcomes first."""
+    now = F.current_timestamp().cast("timestamp_ntz")
+    return {
+        "image_processing_status": outcomes.select("image_id", "pipeline", "status", now.alias("finished_at"), "error_message"),
+        "processing_errors": errors_of(outcomes, stage),
+        "image_metrics": outcomes.select("image_id", "total_time_ms", now.alias("created_at")),
+    }
+
+
+def ingest_folder(images: DataFrame, contents: DataFrame, status: DataFrame, model, result_type: str, pipeline: str) -> DataFrame:
+    """Outcomes of the images that no one has claimed: (id, filename) with their (filename, content) from a folder.
+
+    Images without a file get a failed outcome, as does what the model raises on.
+    """
+    todo = claimable(images.select(F.col("id").cast("string").alias("id"), "filename"), status, pipeline)
+    found = todo.join(contents.select("filename", "content"), "filename", "left")
+
+    def read(content):
+        if content is None:
+            raise FileNotFoundError("no file")
+        return model(content)
+
+    return apply_model(found, read, result_type, pipeline)
+
+
+def stream_folder(spark, folder: str, model, result_type: str, pipeline: str, out: str, checkpoint: str):
+    """A query that puts new files of a folder through the model and appends the outcomes to ``out``.
+
+    Each file is taken once across restarts; files are known by their names.
+    """
+    from vitrine.functions.text import is_video
+
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).load(folder)
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("id"), "content").filter(~is_video(F.col("id")))
+    outcomes = apply_model(named, model, result_type, pipeline)
+    writer = outcomes.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    return writer.outputMode("append").trigger(availableNow=True).start()
