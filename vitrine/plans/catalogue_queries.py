@@ -364,7 +364,7 @@ def close_vector_pairs(c: Catalogue) -> DataFrame:
     return rounded(concepts.close_pairs(c.vectors, 0.4), "similarity")
 
 
-TEMPLATES = ["a photo of {}", "a meme about {}", "{} in the style of a drawing"]
+TEMPLATES = ["a picture of {}", "a poster about {}", "{} as a drawing"]
 
 
 @query(" union all ".join(f"select concat('c', label::varchar) as concept, concat('thing ', label::varchar) as text, replace('{t}', '{{}}', concat('thing ', label::varchar)) as prompt from (select distinct label from embeddings)" for t in TEMPLATES))
