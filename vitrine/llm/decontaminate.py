@@ -132,12 +132,10 @@ def decontaminate(
     candidates = workspace.store(candidates, "candidates")
     workspace.drop("postings")
 
-    joined = rows.join(candidates, "id", "left").select(
-        "id",
-        "laid",
-        _count_words(F.col("text")).alias("n_words"),
-        F.when(F.col("laid").isNotNull(), exact_words(F.col("text"))).alias("doc_words"),
-    )
+    # rows with candidates are worked out and stored apart: a filter on hits must not be pushed into the comparisons,
+    # where the words of a text would be made anew for each of them
+    page = F.xxhash64("text")
+    joined = rows.join(candidates, "id").select("id", page.alias("page"), "laid", exact_words(F.col("text")).alias("doc_words"))
     found = F.filter(
         F.transform(
             "laid",
@@ -158,13 +156,19 @@ def decontaminate(
         )
     )
     item_kind = items.schema["item_id"].dataType.simpleString()
-    return joined.select("id", "n_words", F.when(F.col("laid").isNotNull(), found).alias("found")).select(
-        F.col("id").alias(id_col),
-        "n_words",
-        F.coalesce(F.array_sort(places), F.expr("cast(array() as array<int>)")).alias("hits"),
-        F.coalesce(
-            F.array_distinct(F.transform("found", lambda c: c["item_id"])), F.expr(f"cast(array() as array<{item_kind}>)")
-        ).alias("items"),
+    searched = joined.select("id", "page", found.alias("found")).select(
+        "id", "page", F.array_sort(places).alias("hits"), F.array_distinct(F.transform("found", lambda c: c["item_id"])).alias("items")
+    )
+    searched = workspace.store(searched, "searched").dropDuplicates(["id", "page"])
+    return (
+        rows.select("id", page.alias("page"), _count_words(F.col("text")).alias("n_words"))
+        .join(searched, ["id", "page"], "left")
+        .select(
+            F.col("id").alias(id_col),
+            "n_words",
+            F.coalesce("hits", F.expr("cast(array() as array<int>)")).alias("hits"),
+            F.coalesce("items", F.expr(f"cast(array() as array<{item_kind}>)")).alias("items"),
+        )
     )
 
 
