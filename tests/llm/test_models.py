@@ -1,4 +1,5 @@
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -6,6 +7,7 @@ from helpers import SMALL
 from pyspark.sql import functions as F
 
 from vitrine.llm import langid, lm_score, quality
+from vitrine.llm.queries import QUERIES
 
 
 def split(text):
@@ -66,6 +68,25 @@ def test_katz_matches_token_by_token(documents, flush):
         assert got[i]["base_score"] == pytest.approx(base, abs=1e-5) and got[i]["score"] == pytest.approx(score, abs=1e-5)
 
 
+@pytest.mark.parametrize("flush", [50, 4_000_000])
+def test_katz_with_bigrams_seen_once(documents, flush):
+    train = ["a b a b c", "a b a c d e f g", None, "", "A B x y z a b", "the end of the end", "b a b a b", "q r s t u v w"]
+    texts = [*train, "unknown words a b", "q r a", "a b"]
+    params = lm_score.KatzParams(least=1, flush=flush, buckets=3)
+    model = lm_score.train(documents(train).withColumnRenamed("doc_id", "id"), params)
+    _, want = katz(train, texts, least=1)
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(documents(texts), model, params).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx([w[3] for w in want], abs=1e-5)
+
+
+def test_katz_query_has_all_bigrams(spark):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    held = lambda r: zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0
+    _, want = katz([r["text"] for r in rows if not held(r)], [r["text"] for r in rows], least=1)
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op8_katz_lm_score"](spark, SMALL).collect()}
+    assert [got[r["doc_id"]] for r in rows] == pytest.approx([w[3] for w in want], abs=1e-3)
+
+
 def test_katz_without_training_text(documents):
     model = lm_score.train(documents([]).withColumnRenamed("doc_id", "id"))
     assert lm_score.score(documents(["a"]), model).first()["n_known"] == 0
