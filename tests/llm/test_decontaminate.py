@@ -50,3 +50,37 @@ def test_nothing_to_look_for(spark, documents):
     assert [r["hits"] for r in decontaminate(documents(["a b"]), none).collect()] == [[]]
     some = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert decontaminate(documents([]), some).count() == 0
+
+
+def brute_near(texts, items, width=10, slack=1, misses=1):
+    out = []
+    for t in texts:
+        w, found = words(t), set()
+        for name, item in items:
+            i = words(item)
+            k = min(width, len(i))
+            for shift in range(-len(i) - slack, len(w) + slack + 1):
+                there = [any(0 <= q < len(w) and w[q] == x for q in range(p + shift - slack, p + shift + slack + 1)) for p, x in enumerate(i)]
+                if i and any(sum(there[s : s + k]) >= k - (misses if k == width else 0) for s in range(len(i) - k + 1)):
+                    found.add(name)
+        out.append(sorted(found))
+    return out
+
+
+def test_proximity_matches_brute_force(spark, documents):
+    rng = random.Random(7)
+    common = ["the", "of", "and", "a"]
+    draw = lambda n: [rng.choice(common) if rng.random() < 0.5 else f"t{rng.randrange(80)}" for _ in range(n)]
+    items = [(i, " ".join(draw(n))) for i, n in enumerate([1, 3, 9, 10, 10, 11, 15, 25, 40])] + [(20, ""), (21, "the the the of the")]
+    texts = [None, "", *(" ".join(draw(150)) for _ in range(4))]
+    for _, item in items:
+        for every in (6, 10):
+            for edit in (lambda x: ["new"], lambda x: [x, "new"], lambda x: []):
+                w = [y for at, x in enumerate(words(item)) for y in (edit(x) if at % every == every // 2 else [x])]
+                texts.append(" ".join([*draw(20), *w, *draw(20)]))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate(documents(texts), table).collect()}
+    want = brute_near(texts, items)
+    assert [sorted(got[i]["near"]) for i in range(len(texts))] == want
+    assert all(set(r["items"]) <= set(r["near"]) for r in got.values())
+    assert any(set(r["near"]) - set(r["items"]) for r in got.values())

@@ -30,13 +30,14 @@ def index_words(text: Column) -> Column:
     return _split(F.lower(text))
 
 
-def benchmark_items(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(item_id, words, terms, width) of items that have words; equal rows count once."""
+def benchmark_items(benchmark: DataFrame, id_col: str, text_col: str, window: int, misses: int) -> DataFrame:
+    """(item_id, words, terms, width, misses) of items that have words; equal rows count once."""
     items = benchmark.select(F.col(id_col).alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
     return (
         items.select("item_id", exact_words(F.col("text")).alias("words"), index_words(F.col("text")).alias("terms"))
         .filter(F.size("words") > 0)
         .withColumn("width", F.least(F.size("words"), F.lit(window)))
+        .withColumn("misses", F.when(F.col("width") == window, misses).otherwise(0))
     )
 
 
@@ -69,6 +70,88 @@ def rarest_terms(items: DataFrame, frequency: DataFrame) -> DataFrame:
     return least.filter("r.df > 0").select(F.col("r.term").alias("term"), "item_id", F.col("r.at").alias("at")).distinct()
 
 
+def rarest_pairs(items: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(pair, term, term2, item_id, at, gap, begins, piece): for every piece of every item the places of its two rarest terms.
+
+    A window with m misses is cut into m + 1 pieces, of which one at least has all its words; so all runs of that length are
+    pieces here. Runs with a term that no document holds have no place. ``begins`` are the runs that share two places.
+    """
+    piece = F.floor(F.col("width") / (F.col("misses") + 1)).cast("int")
+    text = F.xxhash64("words").alias("text")
+    at = items.select("item_id", text, piece.alias("piece"), F.size("terms").alias("n"), F.posexplode("terms").alias("at", "word"))
+    known = at.join(frequency, "word").select("item_id", "text", "piece", "n", F.struct("df", "at", "term").alias("place"))
+    begin = F.explode(
+        F.sequence(
+            F.greatest(F.lit(0), F.col("place.at") - F.col("piece") + 1),
+            F.least(F.col("place.at"), F.col("n") - F.col("piece")),
+        )
+    )
+    runs = known.select("item_id", "text", "piece", "place", begin.alias("begin")).groupBy("item_id", "text", "piece", "begin").agg(
+        F.array_sort(F.collect_list("place")).alias("places")
+    )
+    one, two = F.col("places")[0], F.coalesce(F.get("places", F.lit(1)), F.col("places")[0])
+    return (
+        runs.filter(F.size("places") == F.col("piece"))
+        .select(
+            "item_id",
+            "piece",
+            "begin",
+            one["term"].alias("term"),
+            two["term"].alias("term2"),
+            one["at"].alias("at"),
+            (two["at"] - one["at"]).alias("gap"),
+        )
+        .groupBy("term", "term2", "item_id", "at", "gap", "piece")
+        .agg(F.collect_list("begin").alias("begins"))
+        .withColumn("pair", F.monotonically_increasing_id())
+    )
+
+
+def near_shifts(postings: DataFrame, pairs: DataFrame, slack: int) -> DataFrame:
+    """Distinct (id, pair, shift) where the postings of both terms of a pair, less their places, are within 2 * slack."""
+    first = postings.join(pairs.select("term", "term2", "pair"), "term").select(
+        "id", F.col("term2").alias("term"), "pair", F.col("pos").alias("pos1")
+    )
+    second = postings.join(pairs.select(F.col("term2").alias("term")).distinct(), "term", "left_semi")
+    # postings travel without what the pair tells
+    met = first.join(second, ["id", "term"]).join(pairs.select("pair", "at", "gap"), "pair")
+    met = met.filter(F.abs(F.col("pos") - F.col("pos1") - F.col("gap")) <= 2 * slack)
+    return met.select("id", "pair", (F.col("pos1") - F.col("at")).alias("shift")).distinct()
+
+
+def near_match(words: Column, laid: Column, slack: int) -> Column:
+    """Whether a window of the item lies near a shift within ``slack`` of the candidate's: all its words but ``misses`` at
+    most stand within ``slack`` of their places there. Of the candidate's pieces one must have all its words first.
+    """
+    item, n = laid["item"], F.size(laid["item"])
+
+    def stands(i: Column, shift: Column, by: int) -> Column:
+        out = F.lit(False)
+        for d in range(-by, by + 1):
+            out = out | F.coalesce(F.get(words, shift + i + d) == F.get(item, i), F.lit(False))
+        return out
+
+    whole = F.exists(
+        laid["begins"],
+        lambda b: F.forall(F.sequence(b, b + laid["piece"] - 1), lambda i: stands(i, laid["shift"], 2 * slack)),
+    )
+    missed = F.transform(
+        F.sequence(F.lit(-slack), F.lit(slack)),
+        lambda e: F.concat(
+            F.array(F.lit(-1)),
+            F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~stands(i, laid["shift"] + e, slack)),
+            F.array(n),
+        ),
+    )
+    # a window with few misses lies between two missed places that have these misses between them
+    step = laid["misses"] + 1
+    wide = lambda m: (F.size(m) - 1 <= step) | F.exists(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(m) - 1 - step)),
+        lambda j: F.coalesce(F.get(m, j + step) - F.get(m, j) - 1 >= laid["width"], F.lit(False)),
+    )
+    return F.when(whole, F.exists(missed, wide)).otherwise(F.lit(False))
+
+
 def occurrences(words: Column, item: Column, shift: Column, width: Column) -> Column:
     """Starts in the document of the windows of an item that occur when the item is laid at ``shift``."""
     first = F.greatest(F.lit(0), -shift)
@@ -100,8 +183,10 @@ def decontaminate(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
+    slack: int = 1,
+    misses: int = 1,
 ) -> DataFrame:
-    """(id_col, n_words, hits, items) for every row: exact occurrences of benchmark windows in whole documents.
+    """(id_col, n_words, hits, items, near) for every row: occurrences of benchmark windows in whole documents.
 
     A window is ``window`` consecutive words of an item, or all words of a shorter item that has any. ``hits`` lists the
     places (from 0) of words inside any occurrence, ``items`` the identifiers of the items that occur. Null texts have
@@ -109,13 +194,18 @@ def decontaminate(
     one is only a candidate of the other. A null id is answered with no hits where its text has none; ids are expected
     for documents that are to be searched. Other columns are not read.
 
+    ``near`` lists the items with a proximity match, exact ones included: there is a shift such that all words of a window
+    but ``misses`` (fewer than ``window``; none in items of fewer than ``window`` words) stand within ``slack`` of their
+    places. So a word changed, put in or left out of a window of full width makes no difference to it. Candidates are the
+    places where the postings of the two rarest terms of a piece of a window agree.
+
     Each window is looked up by its rarest term in the positional index; a posting minus the term's place in the item is
     the shift at which the item would lie, and the other places of the item must agree at that shift.
     """
     workspace = Workspace(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    items = workspace.store(benchmark_items(benchmark, item_id_col, item_text_col, window), "items")
-    distinct = items.select(F.explode("terms").alias("word")).distinct().withColumn("term", F.xxhash64("word"))
+    items = workspace.store(benchmark_items(benchmark, item_id_col, item_text_col, window, misses), "items")
+    distinct = items.select(F.explode("terms").alias("word")).distinct().withColumn("term", F.monotonically_increasing_id())
     vocabulary = workspace.store(distinct, "vocabulary")
     postings = positional_index(rows, vocabulary, workspace)
     frequency = vocabulary.join(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
@@ -124,10 +214,15 @@ def decontaminate(
         postings.join(seeds, "term")
         .select("id", "item_id", (F.col("pos") - F.col("at")).alias("shift"))
         .distinct()
-        .join(items.select("item_id", "words", "width"), "item_id")
     )
+    pairs = workspace.store(rarest_pairs(items, frequency), "pairs")
+    nearby = near_shifts(postings, pairs, slack).join(pairs.select("pair", "item_id", "begins", "piece"), "pair")
+    exact = shifts.withColumn("begins", F.lit(None).cast("array<int>")).withColumn("piece", F.lit(None).cast("int"))
+    shifts = exact.unionByName(nearby.drop("pair")).join(items.select("item_id", "words", "width", "misses"), "item_id")
     candidates = shifts.groupBy("id").agg(
-        F.collect_list(F.struct("item_id", "shift", F.col("words").alias("item"), "width")).alias("laid")
+        F.collect_list(
+            F.struct("item_id", "shift", F.col("words").alias("item"), "width", "misses", "begins", "piece")
+        ).alias("laid")
     )
     candidates = workspace.store(candidates, "candidates")
     workspace.drop("postings")
@@ -138,7 +233,7 @@ def decontaminate(
     joined = rows.join(candidates, "id").select("id", page.alias("page"), "laid", exact_words(F.col("text")).alias("doc_words"))
     found = F.filter(
         F.transform(
-            "laid",
+            F.filter("laid", lambda c: c["begins"].isNull()),
             lambda c: F.struct(
                 c["item_id"].alias("item_id"),
                 c["width"].alias("width"),
@@ -156,8 +251,13 @@ def decontaminate(
         )
     )
     item_kind = items.schema["item_id"].dataType.simpleString()
-    searched = joined.select("id", "page", found.alias("found")).select(
-        "id", "page", F.array_sort(places).alias("hits"), F.array_distinct(F.transform("found", lambda c: c["item_id"])).alias("items")
+    by_pairs = F.filter("laid", lambda c: c["begins"].isNotNull() & near_match(F.col("doc_words"), c, slack))
+    searched = joined.select("id", "page", found.alias("found"), by_pairs.alias("by_pairs")).select(
+        "id",
+        "page",
+        F.array_sort(places).alias("hits"),
+        F.array_distinct(F.transform("found", lambda c: c["item_id"])).alias("items"),
+        F.array_distinct(F.transform("by_pairs", lambda c: c["item_id"])).alias("near"),
     )
     searched = workspace.store(searched, "searched").dropDuplicates(["id", "page"])
     return (
@@ -168,6 +268,7 @@ def decontaminate(
             "n_words",
             F.coalesce("hits", F.expr("cast(array() as array<int>)")).alias("hits"),
             F.coalesce("items", F.expr(f"cast(array() as array<{item_kind}>)")).alias("items"),
+            F.coalesce("near", F.expr(f"cast(array() as array<{item_kind}>)")).alias("near"),
         )
     )
 
