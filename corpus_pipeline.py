@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 from vitrine.llm import quality
 from vitrine.llm.decontaminate import decontaminate
-from vitrine.llm.line_dedup import line_dedup
+from vitrine.llm.line_dedup import LineDedupParams, line_dedup
 from vitrine.llm.near_dedup import NearDedupParams, near_dedup
 from vitrine.llm.packing import pack
 from vitrine.llm.queries import END_ID, PACK_LIMITS, TOKENIZER, packed_rows, table
 from vitrine.llm.workspace import Workspace
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Share of a source's pages above which a line is boilerplate; lines repeated over many sources are at 2 to 5 % of each.
+LINE_RATIO = 0.02
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the boilerplate lines of their source; n_chars follows the text."""
-    cleaned = line_dedup(docs, carry=("lang", "source"))
+    cleaned = line_dedup(docs, LineDedupParams(ratio=LINE_RATIO), carry=("lang", "source"))
     return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 

@@ -18,3 +18,14 @@ def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_line_stage_drops_lines_of_a_few_in_a_hundred_pages(spark):
+    rows = []
+    for i in range(200):
+        extra = ["footer"] * (i % 40 < 2) + ["kept"] * (i < 4)
+        rows.append((i, "\n".join([f"own line {i}", *extra]), "en", "src0", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in corpus_pipeline.line_stage(spark, docs, SMALL).collect()}
+    assert all(got[i]["text"] == "\n".join([f"own line {i}", *["kept"] * (i < 4)]) for i in range(200))
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
