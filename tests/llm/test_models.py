@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from helpers import SMALL
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ def split(text):
     return [*(text or "").encode().lower().split(), b"</s> "]
 
 
-def katz(train, texts, least=2, k=5):
+def katz(train, texts, least=1, k=5):
     """Token by token."""
     words, pairs = Counter(), Counter()
     for t in train:
@@ -53,42 +54,64 @@ def katz(train, texts, least=2, k=5):
     return total, out
 
 
-@pytest.mark.parametrize("flush", [50, 4_000_000])
-def test_katz_matches_token_by_token(documents, flush):
-    train = ["a b a b c", "a b a c d e f g", None, "", "A B x y z a b", "the end of the end", "b a b a b"] * 2 + ["q r s t u v w"]
-    texts = [*train, "unknown words a b", "é É", "x " * 3000, "a b"]
-    params = lm_score.KatzParams(flush=flush, buckets=3)
-    model = lm_score.train(documents(train).withColumnRenamed("doc_id", "id"), params)
-    total, want = katz(train, texts)
-    assert model.tokens == total
-    got = {r["doc_id"]: r for r in lm_score.score(documents(texts), model, params).collect()}
-    assert len(got) == len(texts)
-    for i, (n, known, base, score) in enumerate(want):
-        assert (got[i]["n_tokens"], got[i]["n_known"]) == (n, known)
-        assert got[i]["base_score"] == pytest.approx(base, abs=1e-5) and got[i]["score"] == pytest.approx(score, abs=1e-5)
+TRAIN = ["a b a b c", "a b a c d e f g", None, "", "A B x y z a b", "the end of the end", "b a b a b", "q r s t u v w"]
 
 
-@pytest.mark.parametrize("flush", [50, 4_000_000])
-def test_katz_with_bigrams_seen_once(documents, flush):
-    train = ["a b a b c", "a b a c d e f g", None, "", "A B x y z a b", "the end of the end", "b a b a b", "q r s t u v w"]
-    texts = [*train, "unknown words a b", "q r a", "a b"]
-    params = lm_score.KatzParams(least=1, flush=flush, buckets=3)
-    model = lm_score.train(documents(train).withColumnRenamed("doc_id", "id"), params)
-    _, want = katz(train, texts, least=1)
-    got = {r["doc_id"]: r["score"] for r in lm_score.score(documents(texts), model, params).collect()}
-    assert [got[i] for i in range(len(texts))] == pytest.approx([w[3] for w in want], abs=1e-5)
+@pytest.mark.parametrize("flush, slot", [(20, 5), (4_000_000, 1_000_000)])
+@pytest.mark.parametrize("times", [1, 2])
+def test_katz_matches_token_by_token(documents, flush, slot, times):
+    train = TRAIN * times + ["the end is not seen twice"]
+    texts = [*train, "unknown words a b", "é É", "x " * 3000, "q r a", "a b unknown a", "a"]
+    params = lm_score.KatzParams(flush=flush, slot=slot)
+    model = lm_score.train(documents(train), params)
+    total, want = katz(train, texts)
+    assert model.tokens == total
+    apart = lm_score.score(documents(texts), model, params).collect()
+    together = lm_score.train_and_score(documents(texts), F.col("doc_id") < len(train), params)[1].collect()
+    for rows in (apart, together):
+        got = {r["doc_id"]: r for r in rows}
+        assert len(got) == len(texts)
+        for i, (n, known, base, score) in enumerate(want):
+            assert (got[i]["n_tokens"], got[i]["n_known"]) == (n, known)
+            assert got[i]["base_score"] == pytest.approx(base, rel=1e-9) and got[i]["score"] == pytest.approx(score, rel=1e-7)
+
+
+def test_katz_rows_without_id_and_repeated_rows(documents):
+    docs = documents(["a b", "a b", "c", None], ids=[None, 5, 5, 5])
+    rows = lm_score.train_and_score(docs, F.lit(True))[1].collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in rows) == [("5", 1), ("5", 2), ("5", 3), ("None", 3)]
+
+
+def test_words_of_one_pattern_are_not_mixed_up(documents):
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    model = lm_score.train(documents([word, word]))
+    rows = lm_score.score(documents([word, other]), model).collect()
+    assert {r["doc_id"]: r["n_known"] for r in rows} == {0: 2, 1: 1}
+
+
+def test_packed_arrays_come_back():
+    h = np.array([1, 1, 5, 5, 5, 1 << 40], np.int64)
+    w, n = np.array([0, 7, 2, 3, 1 << 50, 4], np.int64), np.array([1, 0, 300, 1 << 33, 2, 9], np.int64)
+    assert all((a == b).all() for a, b in zip(lm_score.unpack_pairs(lm_score.pack_pairs(h, w, n), 6), (h, w, n), strict=True))
+    keys = lm_score._pair_keys(h << 20, w)
+    assert len(set(keys.tolist())) == 6 and (np.diff(keys) > 0).all()
+    wild = np.array([5, -3, 1 << 62], np.int64)
+    assert (lm_score.unpack(lm_score.pack((wild, False)), 3, 1)[0] == wild).all()
 
 
 def test_katz_query_has_all_bigrams(spark):
     rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
     held = lambda r: zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0
-    _, want = katz([r["text"] for r in rows if not held(r)], [r["text"] for r in rows], least=1)
+    _, want = katz([r["text"] for r in rows if not held(r)], [r["text"] for r in rows])
     got = {r["doc_id"]: r["score"] for r in QUERIES["op8_katz_lm_score"](spark, SMALL).collect()}
     assert [got[r["doc_id"]] for r in rows] == pytest.approx([w[3] for w in want], abs=1e-3)
 
 
 def test_katz_without_training_text(documents):
-    model = lm_score.train(documents([]).withColumnRenamed("doc_id", "id"))
+    model = lm_score.train(documents([]))
     assert lm_score.score(documents(["a"]), model).first()["n_known"] == 0
     assert lm_score.score(documents([]), model).count() == 0
 

@@ -123,9 +123,7 @@ from rows group by conv_id
 def op8_katz_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
-    params = lm_score.KatzParams(least=1)
-    model = lm_score.train(docs.filter(~held_out), params)
-    scored = lm_score.score(docs, model, params)
+    model, scored = lm_score.train_and_score(docs, ~held_out)
     return scored.select(
         "doc_id",
         held_out.alias("held_out"),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +49,15 @@ class Workspace:
         for name in names:
             self._delete(f"{self.path}/{name}")
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps, which it does once the driver's collector finds them unused: the
+        first round finds the plans, the second what they held.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
+
     def close(self) -> None:
         try:
             self._delete(self.path)
