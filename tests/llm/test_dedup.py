@@ -107,3 +107,46 @@ def test_line_dedup_null_host_and_carried_columns(documents):
     docs = documents([f"menu\n{i}" for i in range(4)]).selectExpr("doc_id", "text", "cast(null as string) source", "n as n_lines2")
     rows = line_dedup(docs, LineDedupParams(0.5, 2), carry=("n_lines2",)).collect()
     assert sorted((r["text"], r["n_lines2"]) for r in rows) == [(str(i), 1) for i in range(4)]
+
+
+def test_texts_of_one_hash_are_no_class(spark):
+    """Classes are confirmed on the words: here all shingle hashes agree."""
+    from vitrine.llm.near_dedup import confirmed_classes
+    from vitrine.llm.workspace import Workspace
+
+    texts = ["one", "two", "one", "ONE", "a b c d e a b c d e", "two", "a b c d e a b c d e a b c d e"]
+    digests = [" ".join(t.lower().split()).encode() for t in texts]
+    found = spark.createDataFrame(
+        [(i, 1, b"same" if i < 4 or i == 5 else b"other", d) for i, d in enumerate(digests)], "id long, n long, key binary, words binary"
+    )
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: bytes(r["key"]) for r in confirmed_classes(found, rows, NearDedupParams(), Workspace(spark)).collect()}
+    assert got[0] == got[2] == got[3] == b"same" and got[1] == got[5] != b"same" and got[4] == got[6] == b"other"
+
+
+def test_set_of_words_in_another_order(documents):
+    text = "a b c d e a b c d e a b c d e"
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup(documents([text, text + " a b c d e", "a b c d e"])).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+
+
+def test_very_long_text(documents):
+    rng = random.Random(9)
+    long = " ".join(rng.choice(WORDS) for _ in range(400_000))
+    got = {r["doc_id"]: r for r in near_dedup(documents([long, long + " x", "x" * 2_000_000])).collect()}
+    assert [got[i]["component_id"] for i in range(3)] == [0, 0, 2] and got[2]["n_shingles"] == 1
+
+
+def test_filters_and_collisions(spark):
+    from pyspark.sql import functions as F
+
+    from vitrine.llm.exact_dedup import _by_text, collisions, may_hold, run_filter
+
+    digests = spark.range(3000).select(F.unhex(F.sha2(F.col("id").cast("string").cast("binary"), 256)).alias("digest"), "id")
+    held = may_hold(digests, run_filter(digests.filter("id % 3 = 0").select("digest"))).select("id").collect()
+    found = {r["id"] for r in held}
+    assert {i for i in range(3000) if i % 3 == 0} <= found and len(found) < 1010
+    rows = spark.createDataFrame([(1, b"x", "one"), (2, b"x", "two"), (3, b"x", "one"), (4, b"y", "a"), (5, b"y", "a")], "id long, digest binary, text string")
+    assert [bytes(r["digest"]) for r in collisions(rows.select("digest", "text")).collect()] == [b"x"]
+    grouped = {r["id"]: (r["keep_id"], r["n"]) for r in _by_text(rows, F.min).collect()}
+    assert grouped == {1: (1, 2), 3: (1, 2), 2: (2, 1), 4: (4, 2), 5: (4, 2)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -62,26 +62,37 @@ class NearDedupParams:
 
 
 def sketches(docs: DataFrame, params: NearDedupParams) -> DataFrame:
-    """(id, n, key, sketch, prefix) from (id, text): set size, digest of the set, its k least hashes in order."""
+    """(id, n, key, words, sketch, prefix) from (id, text): set size, digests of the set of shingle hashes and of the words
+    themselves, the k least hashes in order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, rows, data, offsets in slices(batch.column(1)):
-                sizes, keys, kept, ends = [], [], [], [0]
-                for found in shingle_sets(data, offsets, params.words):
+                sizes, keys, texts, kept, ends = [], [], [], [], [0]
+                for row, found in enumerate(shingle_sets(data, offsets, params.words)):
                     sizes.append(len(found))
                     keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                    text = data[offsets[row] : offsets[row + 1]].tobytes()
+                    texts.append(hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest())
                     kept.append(np.unique(found.view(np.uint64) >> np.uint64(64 - params.bits))[: params.k].view(np.int64))
                     ends.append(ends[-1] + len(kept[-1]))
                 n = np.array(sizes, np.int64)
                 sketch = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(kept)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, rows), pa.array(n), pa.array(keys, pa.binary()), sketch, pa.array(params.prefix(n))],
-                    ["id", "n", "key", "sketch", "prefix"],
+                    [
+                        batch.column(0).slice(at, rows),
+                        pa.array(n),
+                        pa.array(keys, pa.binary()),
+                        pa.array(texts, pa.binary()),
+                        sketch,
+                        pa.array(params.prefix(n)),
+                    ],
+                    ["id", "n", "key", "words", "sketch", "prefix"],
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n long, key binary, sketch array<long>, prefix int")
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n long, key binary, words binary, sketch array<long>, prefix int")
 
 
 def inverted_lists(reps: DataFrame) -> DataFrame:
@@ -271,13 +282,34 @@ class _Linker:
         return self.workspace.store(links, f"links{step}")
 
 
+def confirmed_classes(found: DataFrame, texts: DataFrame, params: NearDedupParams, workspace: Workspace) -> DataFrame:
+    """``found`` without ``words``; ``key`` is changed where the set of words is not that of the class's least id.
+
+    Rows of one sequence of words have one set. The first row of each other sequence in a class is compared with the
+    first row of the class on the words; should only their hashes agree, the sequence becomes a class of its own.
+    """
+    of_words = found.filter("n > 0 and id is not null").groupBy("key", "words").agg(F.min("id").alias("a"))
+    of_words = workspace.store(of_words, "sequences")
+    classes = of_words.groupBy("key").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    apart = workspace.store(of_words.join(classes, "key").filter("a <> b").select("a", "b", "key", "words"), "apart")
+    text_a, text_b = (texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
+    pairs = apart.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b")
+    equal = pairs.mapInArrow(_verified(replace(params, percent=100)), "a long, b long")
+    wrong = workspace.store(apart.join(equal, "a", "left_anti").select("key", "words"), "wrong")
+    workspace.drop("sequences", "apart")
+    if wrong.isEmpty():
+        return found.drop("words")
+    own = found.join(wrong.withColumn("wrong", F.lit(True)), ["key", "words"], "left")
+    return own.withColumn("key", F.when(F.col("wrong"), F.concat("key", "words")).otherwise(F.col("key"))).drop("wrong", "words")
+
+
 def near_dedup(
     docs: DataFrame, params: NearDedupParams = NearDedupParams(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row; identifiers are integers.
 
-    Texts are words between white space, A-Z lower-cased; a text of fewer words than a shingle has one shingle. Equal sets
-    are one class under the smallest id; classes meet in inverted lists of their rarest retained values, pairs pass the
+    Texts are words between white space, A-Z lower-cased; a text of fewer words than a shingle has one shingle. Equal sets,
+    compared on their words, are one class under the smallest id; classes meet in inverted lists of their rarest retained values, pairs pass the
     union-sketch filter and are confirmed on the whole sets of words. The component is the smallest id reachable over
     links; one row of each stays. Texts without words and null texts link with nothing. Rows with a null id link with
     nothing, have a null component and stay. Rows repeated with one id are one node. Other columns are not read.
@@ -285,6 +317,7 @@ def near_dedup(
     workspace = Workspace(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = workspace.store(sketches(rows, params), "sketches")
+    found = confirmed_classes(found, rows, params, workspace)
     classes = found.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"))
     classes = workspace.store(classes, "classes")
     reps = found.join(classes.withColumnRenamed("rep", "id"), ["id", "key"]).dropDuplicates(["id", "key"])
