@@ -12,15 +12,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
-
 #: Language of texts without a letter.
 UNDETERMINED = "und"
 
 
 @dataclass(frozen=True)
 class LangIdParams:
-    """``rows_per_language`` bounds the labelled rows that a model is fitted on, drawn by a hash of the identifier.
+    """``rows_per_language`` and ``chars_per_language`` bound the labelled rows that a model is fitted on, and their length
+    altogether, as expected of a draw by a hash of the identifier.
 
     A word is known if it stands ``min_count`` times in the sample. Unseen words are scored by the longest of
     their n-grams, from ``max_gram`` letters down to one, that the model has; every language has a share of ``floor``
@@ -28,6 +27,7 @@ class LangIdParams:
     """
 
     rows_per_language: int = 3000
+    chars_per_language: int = 50_000_000
     min_count: int = 3
     max_gram: int = 4
     floor: float = 0.5
@@ -94,35 +94,38 @@ class BackoffModel:
 def fit(training: DataFrame, params: LangIdParams = LangIdParams()) -> BackoffModel | None:
     """Fits on (id, text, lang); null texts and languages are left out. None where nothing is left.
 
-    The model is bounded by the sample: the rows drawn of each language and their words.
+    Any string is a language, the empty one too. The model is bounded by the sample: the rows drawn of each language and
+    their words. Rows repeated count each; other columns are not read.
     """
-    workspace = Workspace(training.sparkSession)
     drawn = training.filter("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in drawn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).collect()}
-    languages = sorted(counts)
+    length = F.char_length("text").cast("long")
+    told = drawn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("chars")).collect()
+    languages = sorted(r["lang"] for r in told)
     if not languages:
         return None
     # a share of each language by hash, with a margin, is one scan without a sort; rows beyond the bound don't matter
-    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, params.rows_per_language / n)))))
+    shares = {r["lang"]: min(1.0, params.rows_per_language / r["n"], params.chars_per_language / max(1, r["chars"])) for r in told}
+    share = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(shares[k]))))
+    number = F.create_map(*(x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(i))))
     dice = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("langid")), F.lit(1_000_000)) / 1_000_000
-    sample = drawn.filter(dice < share[F.col("lang")]).select("lang", "text")
+    sample = drawn.filter(dice < share[F.col("lang")]).select(number[F.col("lang")].alias("language"), "text")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             split = letters(batch.column(1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pc.list_parent_indices(split)), split.flatten()], ["lang", "word"]
+                [batch.column(0).take(pc.list_parent_indices(split)), split.flatten()], ["language", "word"]
             )
 
-    words = sample.mapInArrow(words_of, "lang string, word string")
-    by_word = words.groupBy("word").pivot("lang", languages).agg(F.count(F.lit(1)))
-    by_word = workspace.store(by_word.fillna(0), "words")
-    n_of = F.lit(0)
-    for name in languages:
-        n_of = n_of + F.col(f"`{name}`")
-    table = by_word.filter(n_of >= params.min_count).toArrow()
+    words = sample.mapInArrow(words_of, "language int, word string")
+    counted = words.groupBy("word", "language").agg(F.count(F.lit(1)).alias("n"))
+    by_word = counted.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("language", "n")).alias("of"))
+    table = by_word.filter(F.col("n") >= params.min_count).select("word", "of").toArrow()
     known = table.column("word").combine_chunks()
-    word_counts = np.column_stack([table.column(x).to_numpy() for x in languages]).astype(np.float64)
+    lists = table.column("of").combine_chunks()
+    word_counts = np.zeros((len(known), len(languages)))
+    entries = lists.flatten()
+    word_counts[pc.list_parent_indices(lists).to_numpy(), entries.field("language").to_numpy()] = entries.field("n").to_numpy()
 
     grams: list[dict[str, float]] = [defaultdict(float) for _ in languages]
     weights = np.log1p(word_counts)  # frequent words must not stand for how words are spelt
@@ -150,7 +153,8 @@ def identify(docs: DataFrame, model: BackoffModel | None, id_col: str = "doc_id"
     """(id_col, lang_pred, score) for every row from its whole text alone.
 
     Null texts, texts without a letter and any text without a model are ``und`` with score 0. Ties go to the language
-    first by name.
+    first by name. Long texts are scored whole, a thousand rows at a time; rows repeated are answered alike; an empty table
+    gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
