@@ -52,3 +52,26 @@ def test_round_trip_and_mask(spark):
 def test_no_rows(spark):
     table = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert gather_messages(table, "conv_id", "turn", "role", "text").count() == 0
+
+
+def test_lists_roles_and_extra_fields(spark):
+    from vitrine.llm.chat_format import canonical_turns, gather_messages
+
+    payloads = [
+        '{"messages":[]}', '{"messages":null}', '{"conversations":[]}',
+        '{"messages":[{"role":"human","content":"a","name":"n"},{"role":"gpt","content":"b"}]}',
+        '{"id":7,"source":"web","messages":[{"content":"a","role":"user"}]}',
+        '{"conversations":[{"from":"human","value":"a","weight":1.5},{"from":"gpt","value":null}]}',
+        '{"prompt":"p","completion":"c","score":0.25,"a b":null}', '{"prompt":"p","completion":"c","meta":{"x":1}}', '{"other":1}',
+    ]
+    records = spark.createDataFrame(list(enumerate(payloads)), "id long, payload string")
+    got = {r["id"]: (r["layout"], r["turns"] and [tuple(t) for t in r["turns"]]) for r in canonical_turns(records, "id", "payload").collect()}
+    assert got[0] == got[1] == ("messages", []) and got[2] == ("conversations", [])
+    assert got[3] == ("messages", [("human", "a"), ("gpt", "b")])
+    assert got[4] == ("messages", [("user", "a")])
+    assert got[5] == ("conversations", [("user", "a"), ("assistant", "")])
+    assert got[6] == ("prompt_completion", [("user", "p"), ("assistant", "c")])
+    assert got[7] == got[8] == (None, None)
+    rows = spark.createDataFrame([(1, 0, "model", "x"), (1, 1, "bot", None)], "id long, turn int, role string, text string")
+    turns = canonical_turns(gather_messages(rows, "id", "turn", "role", "text"), "id", "payload").first()["turns"]
+    assert [tuple(t) for t in turns] == [("model", "x"), ("bot", "")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,18 +17,24 @@ TURNS_TYPE = "array<struct<role:string,text:string>>"
 class Layout:
     """How records of one schema become turns.
 
-    ``sample`` is a record in JSON that has the schema; ``turns`` is a Spark SQL expression over the variant ``v`` that
-    gives array<struct<role,text>>.
+    ``samples`` are records in JSON that have the schema; ``turns`` is a Spark SQL expression over the variant ``v`` that
+    gives array<struct<role,text>>. ``renamed`` says that the layout has names of its own for the roles.
     """
 
     name: str
-    sample: str
+    samples: tuple[str, ...]
     turns: str
+    renamed: bool = False
 
 
 def _messages(path: str, role: str, text: str) -> str:
     shape = f"array<struct<{role}:string,{text}:string>>"
-    return f"transform(variant_get(v, '$.{path}', '{shape}'), m -> struct(m.{role} as role, coalesce(m.{text}, '') as text))"
+    turns = f"transform(variant_get(v, '$.{path}', '{shape}'), m -> struct(m.{role} as role, coalesce(m.{text}, '') as text))"
+    return f"coalesce({turns}, cast(array() as {TURNS_TYPE}))"
+
+
+def _lists(path: str, role: str, text: str) -> tuple[str, ...]:
+    return (f'{{"{path}":[{{"{role}":"","{text}":""}}]}}', f'{{"{path}":[]}}', f'{{"{path}":null}}')
 
 
 def _pair(user: str, assistant: str) -> str:
@@ -42,15 +49,15 @@ def _text(path: str) -> str:
 
 
 LAYOUTS = (
-    Layout("messages", '{"messages":[{"role":"","content":""}]}', _messages("messages", "role", "content")),
-    Layout("conversations", '{"conversations":[{"from":"","value":""}]}', _messages("conversations", "from", "value")),
-    Layout("prompt_completion", '{"prompt":"","completion":""}', _pair(_text("prompt"), "completion")),
-    Layout("prompt_response", '{"prompt":"","response":""}', _pair(_text("prompt"), "response")),
-    Layout("question_answer", '{"question":"","answer":""}', _pair(_text("question"), "answer")),
-    Layout("instruction", '{"instruction":"","output":""}', _pair(_text("instruction"), "output")),
+    Layout("messages", _lists("messages", "role", "content"), _messages("messages", "role", "content")),
+    Layout("conversations", _lists("conversations", "from", "value"), _messages("conversations", "from", "value"), True),
+    Layout("prompt_completion", ('{"prompt":"","completion":""}',), _pair(_text("prompt"), "completion")),
+    Layout("prompt_response", ('{"prompt":"","response":""}',), _pair(_text("prompt"), "response")),
+    Layout("question_answer", ('{"question":"","answer":""}',), _pair(_text("question"), "answer")),
+    Layout("instruction", ('{"instruction":"","output":""}',), _pair(_text("instruction"), "output")),
     Layout(
         "instruction_input",
-        '{"instruction":"","input":"","output":""}',
+        ('{"instruction":"","input":"","output":""}',),
         _pair(f"rtrim('\\n', concat({_text('instruction')}, '\\n\\n', {_text('input')}))", "output"),
     ),
 )
@@ -59,47 +66,58 @@ LAYOUTS = (
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def field_paths(variant: Column) -> Column:
+def field_paths(variant: Column, known: tuple[str, ...] = ()) -> Column:
     """Sorted nested field paths of a record, array elements included, without the types of the leaves.
 
-    The types go, so a null or a number in place of a string leaves the fingerprint as it is.
+    The types go, so a null or a number in place of a string leaves the fingerprint as it is. Leaves that are not ``known``
+    go too, where any are: a field that no layout has makes no difference.
     """
     described = F.schema_of_variant(variant)
-    return F.regexp_replace(described, r": (?!OBJECT|ARRAY)[A-Z]+(\([0-9,]*\))?", ":")
+    paths = F.regexp_replace(described, r": (?!OBJECT|ARRAY)[A-Z]+(\([0-9,]*\))?", ":")
+    if known:
+        other = rf"(?<=[<,])(?!(?:{'|'.join(known)}):)(?:`(?:[^`]|``)*`|[^`<>,:]+):(?=[,>])"
+        paths = F.regexp_replace(F.replace(paths, F.lit(", "), F.lit(",")), other, "")
+        paths = F.regexp_replace(paths, "(?<=<),+|,+(?=>)|,(?=,)", "")
+    return paths
 
 
-def fingerprint(variant: Column) -> Column:
-    return F.xxhash64(field_paths(variant))
+def fingerprint(variant: Column, known: tuple[str, ...] = ()) -> Column:
+    return F.xxhash64(field_paths(variant, known))
 
 
 def canonical_turns(records: DataFrame, id_col: str, payload_col: str, layouts=LAYOUTS) -> DataFrame:
     """(id_col, layout, turns): records in JSON mapped to turns by the layout whose fingerprint they share.
 
     Records that are null, are not JSON or fit no layout keep a null layout and null turns. A null role counts as empty,
-    a null text as empty, a null or empty list of messages gives no turns.
+    a null text as empty, a null or empty list of messages gives no turns. Fields of a simple type that no layout has
+    are ignored. Roles are kept as they are, but for layouts with names of their own for them (``ROLE_NAMES``). Records
+    repeated, or of equal id, are mapped each; an empty table gives an empty result; other columns are not read. A record
+    is one row and must fit, several times over, in a task's memory: turns of tens of megabytes do in a few gigabytes.
     """
     spark = records.sparkSession
-    samples = spark.range(1).select(
-        *(fingerprint(F.try_parse_json(F.lit(x.sample))).alias(x.name) for x in layouts)
+    known = tuple(sorted({name for x in layouts for sample in x.samples for name in re.findall(r'"(\w+)":', sample)}))
+    prints = spark.range(1).select(
+        *(F.array(*(fingerprint(F.try_parse_json(F.lit(s)), known) for s in x.samples)).alias(x.name) for x in layouts)
     ).first()
     parsed = records.select(F.col(id_col).alias("id"), F.try_parse_json(F.col(payload_col)).alias("v")).withColumn(
-        "print", fingerprint(F.col("v"))
+        "print", fingerprint(F.col("v"), known)
     )
-    name = turns = None
+    name = turns = renamed = None
     for layout in layouts:
-        here = F.col("print") == F.lit(samples[layout.name])
+        here = F.col("print").isin(list(prints[layout.name]))
         name = F.when(here, layout.name) if name is None else name.when(here, layout.name)
         mapped = F.expr(layout.turns).cast(TURNS_TYPE)
         turns = F.when(here, mapped) if turns is None else turns.when(here, mapped)
+        renamed = F.when(here, layout.renamed) if renamed is None else renamed.when(here, layout.renamed)
     roles = F.create_map(*(F.lit(x) for pair in ROLE_NAMES.items() for x in pair))
     tidy = F.transform(
         "turns",
         lambda t: F.struct(
-            F.coalesce(roles[F.coalesce(t["role"], F.lit(""))], t["role"], F.lit("")).alias("role"),
+            F.coalesce(F.when(F.col("renamed"), roles[t["role"]]), t["role"], F.lit("")).alias("role"),
             F.coalesce(t["text"], F.lit("")).alias("text"),
         ),
     )
-    return parsed.select("id", name.alias("layout"), turns.alias("turns")).select(
+    return parsed.select("id", name.alias("layout"), turns.alias("turns"), renamed.alias("renamed")).select(
         F.col("id").alias(id_col), "layout", tidy.alias("turns")
     )
 
