@@ -84,3 +84,12 @@ def test_proximity_matches_brute_force(spark, documents):
     assert [sorted(got[i]["near"]) for i in range(len(texts))] == want
     assert all(set(r["items"]) <= set(r["near"]) for r in got.values())
     assert any(set(r["near"]) - set(r["items"]) for r in got.values())
+
+
+def test_repeated_word_against_a_long_item(spark, documents):
+    """Every place of the text is a shift of the item: work by length times length, hits listed once."""
+    table = spark.createDataFrame([(1, "ho " * 300), (2, "ho " * 40 + "hum"), (3, "Σίσυφος' ΟΔΟΣ. rare")], "item_id long, text string")
+    texts = ["ho " * 6000, "ho " * 9, "x " + "ho " * 50 + "hum ho", "a Σίσυφος ΟΔΟΣ rare b", "ΟΔΟΣ' rare"]
+    got = {r["doc_id"]: r for r in decontaminate(documents(texts), table).collect()}
+    assert got[0]["hits"] == list(range(6000)) and sorted(got[0]["items"]) == [1, 2]
+    assert got[1]["hits"] == [] and got[2]["hits"] == list(range(1, 52)) and got[3]["hits"] == [1, 2, 3] and got[4]["hits"] == []

@@ -144,6 +144,51 @@ def test_language_edges(spark, documents):
     assert langid.identify(documents([]), model).count() == 0
 
 
+def test_any_language_name(spark, documents):
+    names = ["word", "", "a.b", "x`y", "n", "und"]
+    rows = [(i, f"{chr(97 + i)}lpha {chr(97 + i)}eta {chr(97 + i)}amma", name) for i, name in enumerate(names) for _ in range(4)]
+    model = langid.fit(spark.createDataFrame(rows, "id long, text string, lang string"))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(documents([r[1] for r in rows[::4]]), model).collect()}
+    assert [got[i] for i in range(len(names))] == names
+
+
+def test_language_scores_word_by_word(spark, documents):
+    """Known words by their shares, unseen ones by the longest known n-gram from each place, without any table of codes."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("der alte baum steht", "de"), ("the old tree stands", "en"), ("le vieil arbre", "fr")] * 4)]
+    params = langid.LangIdParams(min_count=3, max_gram=3)
+    model = langid.fit(spark.createDataFrame(rows, "id long, text string, lang string"), params)
+    counts = {lang: Counter(w for _, t, at in rows if at == lang for w in t.split()) for lang in ("de", "en", "fr")}
+    grams = {lang: Counter() for lang in counts}
+    for lang, own in counts.items():
+        for w, n in own.items():
+            for size in (1, 2, 3):
+                for at in range(len(w) + 3 - size):
+                    grams[lang][f"^{w}$"[at : at + size]] += math.log1p(n)
+    every = set().union(*counts.values())
+
+    def word_score(lang, w):
+        if w in every:
+            return math.log(counts[lang][w] + 0.5) - math.log(sum(counts[lang].values()) + 1)
+        padded, found = f"^{w}$", []
+        for at in range(len(padded) - 1):
+            for size in (3, 2, 1):
+                g = padded[at : at + size]
+                if len(g) == size and any(g in grams[x] for x in grams):
+                    total = sum(n for k, n in grams[lang].items() if len(k) == size)
+                    found.append(math.log(grams[lang][g] + 0.5) - math.log(total + 1))
+                    break
+        return sum(found) / len(found) if found else 0.0
+
+    texts = ["Der neue Baum", "the newest trees", "un arbre", "xyz", "old der le", "baume!"]
+    got = {r["doc_id"]: r for r in langid.identify(documents(texts), model).collect()}
+    for i, text in enumerate(texts):
+        w = text.lower().replace("!", "").split()
+        total = {lang: sum(word_score(lang, x) for x in w) / math.sqrt(len(w)) for lang in counts}
+        best = max(sorted(total), key=total.get)
+        share = 1 / sum(math.exp(t - total[best]) for t in total.values())
+        assert got[i]["lang_pred"] == best and got[i]["score"] == pytest.approx(share)
+
+
 def test_weak_labels_find_the_good_labeller():
     patterns = {(1, 1, 2): 300, (1, 0, 2): 20, (2, 0, 2): 2000, (2, 1, 2): 15, (1, 1, 1): 40, (2, 0, 0): 300}
     post = quality.weak_labels(patterns)
