@@ -11,10 +11,15 @@ from .workspace import Workspace
 
 #: What stands between words once A-Z are lower-cased; a fixed pattern.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same where A-Z are as they were.
+SEPARATORS_AS_WRITTEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
+#: Words of a text among which two postings can meet.
+STRETCH = 64
 
-def _split(text: Column) -> Column:
-    return F.array_remove(F.split(text, SEPARATORS), "")
+
+def _split(text: Column, at: str = SEPARATORS) -> Column:
+    return F.array_remove(F.split(text, at), "")
 
 
 def exact_words(text: Column) -> Column:
@@ -23,11 +28,11 @@ def exact_words(text: Column) -> Column:
 
 
 def index_words(text: Column) -> Column:
-    """Words with all letters lower-cased, at the same places as ``exact_words``: what is equal there is equal here.
+    """Words with all letters lower-cased one by one, at the same places as ``exact_words``: what is equal there is equal here.
 
-    Only candidates come from these; they are cheaper to make.
+    Only candidates come from these.
     """
-    return _split(F.lower(text))
+    return F.transform(_split(text, SEPARATORS_AS_WRITTEN), F.lower)
 
 
 def benchmark_items(benchmark: DataFrame, id_col: str, text_col: str, window: int, misses: int) -> DataFrame:
@@ -47,7 +52,8 @@ def positional_index(docs: DataFrame, vocabulary: DataFrame, workspace: Workspac
     The vocabulary is that of the test set; how it meets the words is left to the planner, which sends it to all
     executors only where its size is below the session's threshold.
     """
-    tokens = docs.select("id", F.posexplode(index_words(F.col("text"))).alias("pos", "word"))
+    tokens = docs.select("id", F.posexplode(_split(F.col("text"), SEPARATORS_AS_WRITTEN)).alias("pos", "word"))
+    tokens = tokens.withColumn("word", F.lower("word"))
     postings = tokens.join(vocabulary.select(F.col("word"), F.col("term")), "word").select("term", "id", "pos")
     return workspace.store(postings, "postings")
 
@@ -108,18 +114,28 @@ def rarest_pairs(items: DataFrame, frequency: DataFrame) -> DataFrame:
 
 
 def near_shifts(postings: DataFrame, pairs: DataFrame, slack: int) -> DataFrame:
-    """Distinct (id, pair, shift) where the postings of both terms of a pair, less their places, are within 2 * slack."""
-    first = postings.join(pairs.select("term", "term2", "pair"), "term").select(
-        "id", F.col("term2").alias("term"), "pair", F.col("pos").alias("pos1")
+    """Distinct (id, pair, shift) where the postings of both terms of a pair, less their places, are within 2 * slack.
+
+    Places meet in stretches of a text, so one that repeats a term is not compared with itself place by place.
+    """
+    wide = max(STRETCH, 4 * slack + 1)
+    low = F.col("pos") + F.col("gap") - 2 * slack
+    first = postings.join(pairs.select("term", "term2", "pair", "gap"), "term").select(
+        "id",
+        F.col("term2").alias("term"),
+        "pair",
+        F.col("pos").alias("pos1"),
+        F.explode(F.array_distinct(F.array(F.floor(low / wide), F.floor((low + 4 * slack) / wide)))).alias("stretch"),
     )
     second = postings.join(pairs.select(F.col("term2").alias("term")).distinct(), "term", "left_semi")
+    second = second.withColumn("stretch", F.floor(F.col("pos") / wide))
     # postings travel without what the pair tells
-    met = first.join(second, ["id", "term"]).join(pairs.select("pair", "at", "gap"), "pair")
+    met = first.join(second, ["id", "term", "stretch"]).join(pairs.select("pair", "at", "gap"), "pair")
     met = met.filter(F.abs(F.col("pos") - F.col("pos1") - F.col("gap")) <= 2 * slack)
     return met.select("id", "pair", (F.col("pos1") - F.col("at")).alias("shift")).distinct()
 
 
-def near_match(words: Column, laid: Column, slack: int) -> Column:
+def near_match(words: Column, laid: Column, at: Column, slack: int) -> Column:
     """Whether a window of the item lies near a shift within ``slack`` of the candidate's: all its words but ``misses`` at
     most stand within ``slack`` of their places there. Of the candidate's pieces one must have all its words first.
     """
@@ -132,14 +148,14 @@ def near_match(words: Column, laid: Column, slack: int) -> Column:
         return out
 
     whole = F.exists(
-        laid["begins"],
-        lambda b: F.forall(F.sequence(b, b + laid["piece"] - 1), lambda i: stands(i, laid["shift"], 2 * slack)),
+        at["begins"],
+        lambda b: F.forall(F.sequence(b, b + at["piece"] - 1), lambda i: stands(i, at["shift"], 2 * slack)),
     )
     missed = F.transform(
         F.sequence(F.lit(-slack), F.lit(slack)),
         lambda e: F.concat(
             F.array(F.lit(-1)),
-            F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~stands(i, laid["shift"] + e, slack)),
+            F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~stands(i, at["shift"] + e, slack)),
             F.array(n),
         ),
     )
@@ -153,26 +169,43 @@ def near_match(words: Column, laid: Column, slack: int) -> Column:
 
 
 def occurrences(words: Column, item: Column, shift: Column, width: Column) -> Column:
-    """Starts in the document of the windows of an item that occur when the item is laid at ``shift``."""
+    """Stretches (first, last) of the document inside windows of an item that occur when the item is laid at ``shift``.
+
+    They lie between places that differ, wherever a window has room there.
+    """
     first = F.greatest(F.lit(0), -shift)
     last = F.least(F.size(item), F.size(words) - shift) - 1
-    # agreement of each place of the overlap, then runs: a window occurs where the run up to its end is wide enough
-    agree = F.when(
-        last - first + 1 >= width,
-        F.transform(F.sequence(first, last), lambda i: F.get(words, shift + i) == F.get(item, i)),
-    ).otherwise(F.expr("cast(array() as array<boolean>)"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("run"), F.expr("cast(array() as array<int>)").alias("found"))
-
-    def step(acc: Column, same: Column) -> Column:
-        run = F.when(same, acc["run"] + 1).otherwise(F.lit(0))
-        begin = first + shift + acc["at"] - width + 1
-        return F.struct(
-            (acc["at"] + 1).alias("at"),
-            run.alias("run"),
-            F.when(run >= width, F.concat(acc["found"], F.array(begin))).otherwise(acc["found"]).alias("found"),
+    differ = F.filter(F.sequence(first, last), lambda i: ~F.coalesce(F.get(words, shift + i) == F.get(item, i), F.lit(False)))
+    bounds = F.concat(F.array(first - 1), differ, F.array(last + 1))
+
+    def between(b: Column) -> Column:
+        stretches = F.transform(
+            F.sequence(F.lit(0), F.size(b) - 2),
+            lambda j: F.struct((F.get(b, j) + 1 + shift).alias("first"), (F.get(b, j + 1) - 1 + shift).alias("last")),
         )
+        return F.filter(stretches, lambda s: s["last"] - s["first"] + 1 >= width)
+
+    none = F.expr("cast(array() as array<struct<first:int,last:int>>)")
+    return F.when(last - first + 1 >= width, _let(bounds, between)).otherwise(none)
 
-    return F.aggregate(agree, start, step)["found"]
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def covered(stretches: Column) -> Column:
+    """Sorted distinct places inside any stretch; what the stretch before covers is not listed again."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def places(ordered: Column) -> Column:
+        def fresh(s: Column, i: Column) -> Column:
+            begin = F.greatest(s["first"], F.coalesce(F.get(ordered, i - 1)["last"] + 1, F.lit(0)))
+            return F.when(begin <= s["last"], F.sequence(begin, s["last"])).otherwise(none)
+
+        return F.array_sort(F.array_distinct(F.flatten(F.transform(ordered, fresh))))
+
+    return F.coalesce(_let(F.array_sort(F.array_distinct(stretches)), places), none)
 
 
 def decontaminate(
@@ -192,7 +225,10 @@ def decontaminate(
     places (from 0) of words inside any occurrence, ``items`` the identifiers of the items that occur. Null texts have
     no words; null item texts have no windows. Rows repeated with one id are each looked at on their own: a candidate of
     one is only a candidate of the other. A null id is answered with no hits where its text has none; ids are expected
-    for documents that are to be searched. Other columns are not read.
+    for documents that are to be searched. Other columns are not read. An empty table gives an empty result, no items
+    give no hits; of equally rare terms the first in a window is looked up. Long texts are searched whole: a document's
+    words, and its candidates, are one row. A text that repeats a word takes time by its length times that of the items
+    that hold it.
 
     ``near`` lists the items with a proximity match, exact ones included: there is a shift such that all words of a window
     but ``misses`` (fewer than ``window``; none in items of fewer than ``window`` words) stand within ``slack`` of their
@@ -216,16 +252,21 @@ def decontaminate(
         .distinct()
     )
     pairs = workspace.store(rarest_pairs(items, frequency), "pairs")
-    nearby = near_shifts(postings, pairs, slack).join(pairs.select("pair", "item_id", "begins", "piece"), "pair")
+    workspace.release()
+    nearby = workspace.store(near_shifts(postings, pairs, slack), "nearby")
+    workspace.release()
+    nearby = nearby.join(pairs.select("pair", "item_id", "begins", "piece"), "pair")
     exact = shifts.withColumn("begins", F.lit(None).cast("array<int>")).withColumn("piece", F.lit(None).cast("int"))
-    shifts = exact.unionByName(nearby.drop("pair")).join(items.select("item_id", "words", "width", "misses"), "item_id")
-    candidates = shifts.groupBy("id").agg(
-        F.collect_list(
-            F.struct("item_id", "shift", F.col("words").alias("item"), "width", "misses", "begins", "piece")
-        ).alias("laid")
+    shifts = exact.unionByName(nearby.drop("pair"))
+    # an item's words come once for all its shifts
+    by_item = shifts.groupBy("id", "item_id").agg(F.collect_list(F.struct("shift", "begins", "piece")).alias("at"))
+    laid = F.struct("item_id", F.col("words").alias("item"), "width", "misses", "at")
+    candidates = by_item.join(items.select("item_id", "words", "width", "misses"), "item_id").groupBy("id").agg(
+        F.collect_list(laid).alias("laid")
     )
     candidates = workspace.store(candidates, "candidates")
-    workspace.drop("postings")
+    workspace.drop("postings", "nearby")
+    workspace.release()
 
     # rows with candidates are worked out and stored apart: a filter on hits must not be pushed into the comparisons,
     # where the words of a text would be made anew for each of them
@@ -233,29 +274,28 @@ def decontaminate(
     joined = rows.join(candidates, "id").select("id", page.alias("page"), "laid", exact_words(F.col("text")).alias("doc_words"))
     found = F.filter(
         F.transform(
-            F.filter("laid", lambda c: c["begins"].isNull()),
+            "laid",
             lambda c: F.struct(
                 c["item_id"].alias("item_id"),
-                c["width"].alias("width"),
-                occurrences(F.col("doc_words"), c["item"], c["shift"], c["width"]).alias("starts"),
+                F.flatten(
+                    F.transform(
+                        F.filter(c["at"], lambda a: a["begins"].isNull()),
+                        lambda a: occurrences(F.col("doc_words"), c["item"], a["shift"], c["width"]),
+                    )
+                ).alias("stretches"),
             ),
         ),
-        lambda c: F.size(c["starts"]) > 0,
+        lambda c: F.size(c["stretches"]) > 0,
     )
-    places = F.array_distinct(
-        F.flatten(
-            F.transform(
-                "found",
-                lambda c: F.flatten(F.transform(c["starts"], lambda s: F.sequence(s, s + c["width"] - 1))),
-            )
-        )
+    by_pairs = F.filter(
+        "laid",
+        lambda c: F.exists(c["at"], lambda a: a["begins"].isNotNull() & near_match(F.col("doc_words"), c, a, slack)),
     )
     item_kind = items.schema["item_id"].dataType.simpleString()
-    by_pairs = F.filter("laid", lambda c: c["begins"].isNotNull() & near_match(F.col("doc_words"), c, slack))
     searched = joined.select("id", "page", found.alias("found"), by_pairs.alias("by_pairs")).select(
         "id",
         "page",
-        F.array_sort(places).alias("hits"),
+        covered(F.flatten(F.transform("found", lambda c: c["stretches"]))).alias("hits"),
         F.array_distinct(F.transform("found", lambda c: c["item_id"])).alias("items"),
         F.array_distinct(F.transform("by_pairs", lambda c: c["item_id"])).alias("near"),
     )
@@ -275,4 +315,4 @@ def decontaminate(
 
 def _count_words(text: Column) -> Column:
     """Number of words; case makes no difference to it, so A-Z are left as they are."""
-    return F.size(F.array_remove(F.split(text, SEPARATORS.replace(r"\x60", r"\x40\x5B-\x60")), "")).cast("long")
+    return F.size(_split(text, SEPARATORS_AS_WRITTEN)).cast("long")
