@@ -173,8 +173,8 @@ def test_one_and_one_or_none(spark):
 def test_sinks_and_listing(spark, tmp_path):
     tags = lambda source, v: spark.createDataFrame([("i", "k", v, source)], "image_id string, key string, value string, source string")
     at = str(tmp_path / "tags")
-    tables.replace_sources(tags("OCR", "1").unionByName(tags("Ollama", "1")), at)
-    tables.replace_sources(tags("OCR", "2"), at)
+    tables.replace_sources(tags("OCR", "1").unionByName(tags("Ollama", "1")), at, ["OCR", "Ollama"])
+    tables.replace_sources(tags("OCR", "2"), at, ["OCR"])
     assert sorted((r["source"], r["value"]) for r in spark.read.parquet(at).collect()) == [("OCR", "2"), ("Ollama", "1")]
     tables.report(spark.range(3), str(tmp_path / "report"), F.desc("id"))
     assert [r[0] for r in spark.read.option("header", True).csv(str(tmp_path / "report")).collect()] == ["2", "1", "0"]
@@ -246,3 +246,35 @@ def test_folder_ingestion(spark, tmp_path):
 def test_structured_description(spark):
     got = spark.range(1).select(text.structured_description(F.lit('Sure: {"description": "d", "tags": ["x"]} ok')).alias("d")).first()["d"]
     assert (got["description"], got["tags"], got["template"]) == ("d", ["x"], None)
+
+
+def test_sources_without_new_rows_and_small_faults(spark, tmp_path):
+    at = str(tmp_path / "by source")
+    rows = [("i1", "a/b"), ("i2", "OCR"), ("i3", "OCR")]
+    tables.replace_sources(spark.createDataFrame(rows, "image_id string, source string"), at, ["a/b", "OCR"])
+    assert spark.read.parquet(at).count() == 3
+    none = spark.createDataFrame([], "image_id string, source string")
+    tables.replace_sources(none, at, ["a/b", "never there"])
+    assert [r["source"] for r in spark.read.parquet(at).collect()] == ["OCR", "OCR"]
+    with pytest.raises(ValueError):
+        tables.replace_sources(spark.createDataFrame(rows, "image_id string, source string"), at, ["OCR"])
+    tables.replace_all(spark.range(3), str(tmp_path / "x"))
+    tables.append(spark.range(2), str(tmp_path / "x"))
+    assert spark.read.parquet(str(tmp_path / "x")).count() == 5
+    folder = tmp_path / "pics"
+    folder.mkdir()
+    (folder / "one.jpg").write_bytes(b"abc")
+    assert tables.file_exists(spark, str(folder / "one.jpg")) and not tables.file_exists(spark, str(folder / "two.jpg"))
+    assert not tables.file_exists(spark, str(folder))
+    named = spark.createDataFrame([("i1", "one.jpg"), ("i2", "two.jpg")], "id string, filename string")
+    assert [(r["id"], bytes(r["content"])) for r in tables.file_bytes(spark, str(folder), named).collect()] == [("i1", b"abc")]
+    kinds = spark.createDataFrame([(" IMAGE/JPEG ; q=1",), ("image/PNG",), (None,), ("text/html",)], "k string")
+    assert [r[0] for r in kinds.select(text.extension(F.col("k"))).collect()] == [".jpg", ".png", ".bin", ".bin"]
+
+
+def test_pages_go_on_after_a_null_time(spark):
+    rows = [("a", "a.jpg", None), ("b", "b.jpg", None), ("c", "c.jpg", DAY), ("d", "d.jpg", DAY)]
+    cursor = search.decode_cursor(search.encode_cursor(search.Cursor(None, "b")))
+    assert cursor == search.Cursor(None, "b")
+    assert [r["id"] for r in search.page(images(spark, rows), 5, cursor).collect()] == ["a", "d", "c"]
+    assert [r["id"] for r in search.page(images(spark, rows), 5, search.Cursor(DAY, "d")).collect()] == ["c"]

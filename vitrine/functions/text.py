@@ -45,9 +45,10 @@ def slug(query: Column) -> Column:
 
 
 def extension(content_type: Column) -> Column:
-    """The extension of a content type without its parameters; ``.bin`` for others and for null."""
+    """The extension of a content type without its parameters, in any case; ``.bin`` for others and for null."""
     kinds = F.create_map(*(F.lit(x) for pair in EXTENSIONS.items() for x in pair))
-    return F.coalesce(kinds[F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1))], F.lit(".bin"))
+    kind = F.lower(F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
+    return F.coalesce(kinds[kind], F.lit(".bin"))
 
 
 def bounded_side(side: Column, other: Column, longest: int = 1600) -> Column:

@@ -93,7 +93,10 @@ def nearest_references(
 def match_counts(images: DataFrame, vectors: DataFrame, concept_images: DataFrame, sets: DataFrame, threshold: float = 0.2) -> DataFrame:
     """(image_id, concept_id, matches, least_distance): how often each image meets each concept within threshold."""
     named = sets.select(F.col("id").alias("concept_image_set_id"), "concept_id")
-    references = concept_images.join(named, "concept_image_set_id").select("concept_id", F.col("embedding").alias("reference"))
-    distance = cosine_distance(F.col("embedding"), F.col("reference"))
-    near = paired(with_filenames(images, vectors), references).select("image_id", "concept_id", distance.alias("d")).filter(F.col("d") < threshold)
+    references = concept_images.join(named, "concept_image_set_id").select(
+        "concept_id", F.col("embedding").alias("reference"), norm(F.col("embedding")).alias("reference_norm")
+    )
+    rows = with_filenames(images, vectors).withColumn("own_norm", norm(F.col("embedding")))
+    distance = cosine_distance(F.col("embedding"), F.col("reference"), F.col("own_norm"), F.col("reference_norm"))
+    near = paired(rows, references).select("image_id", "concept_id", distance.alias("d")).filter(F.col("d") < threshold)
     return near.groupBy("image_id", "concept_id").agg(F.count(F.lit(1)).alias("matches"), F.min("d").alias("least_distance"))

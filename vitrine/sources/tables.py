@@ -74,9 +74,36 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def replace_sources(tags: DataFrame, path: str) -> None:
-    """Partial refresh: replaces the partitions of the sources in ``tags`` and leaves the others."""
+def replace_sources(tags: DataFrame, path: str, sources: list[str]) -> None:
+    """Partial refresh: the rows of ``sources`` become those of ``tags``, none where it has none; other sources stay.
+
+    Rows of a source that is not listed are an error: they would stand beside that source's old rows.
+    """
+    other = tags.filter(F.col("source").isNull() | ~F.col("source").isin(sources)).limit(1).collect()
+    if other:
+        raise ValueError(f"source {other[0]['source']!r} is not among {sources}")
     tags.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+    there = {r["source"] for r in tags.select("source").distinct().collect()}  # at most len(sources) rows
+    spark = tags.sparkSession
+    for source in sources:
+        if source not in there:
+            _delete(spark, f"{path.rstrip('/')}/source={_escaped(spark, source)}")
+
+
+def _escaped(spark: SparkSession, value: str) -> str:
+    return spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def file_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file is there, through Spark's file systems."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(target) and files.getFileStatus(target).isFile()
 
 
 def report(df: DataFrame, path: str, *order: Column) -> None:
