@@ -2,11 +2,12 @@ import datetime as dt
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from vitrine.functions import text
-from vitrine.functions.vectors import cosine_distance, softmax
+from vitrine.functions.vectors import block_products, cosine_distance, softmax
 from vitrine.operators import cluster, concepts, rules, search, similar
 from vitrine.sources import tables
 from vitrine.streaming import ingest
@@ -221,6 +222,50 @@ def test_hdbscan_finds_two_groups(spark):
     assert label[0] != label[12] and label[24] == label[25] == -1
 
 
+def _cloud(spark, n=60):
+    rng = np.random.default_rng(4)
+    points = np.vstack([rng.normal(c, 0.3, (n // 3, 3)) for c in (0, 3, 6)])
+    return points, spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vector array<double>")
+
+
+def test_chunks_give_the_tree_of_the_whole(spark):
+    points, df = _cloud(spark)
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    core = np.sort(d, axis=1)[:, 4]
+    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
+    joined, weights = {0}, []
+    while len(joined) < len(points):
+        weight, new = min((reach[i, j], j) for i in joined for j in range(len(points)) if j not in joined)
+        joined.add(new)
+        weights.append(weight)
+    for most, chunk in ((1000, 1000), (5, 7)):
+        found = cluster.core_distances(df, 5, most, chunk)
+        assert np.allclose([r["core"] for r in found.orderBy("id").collect()], core)
+        edges = cluster.spanning_tree(df.join(found, "id"), chunk).collect()
+        assert np.allclose(sorted(r["weight"] for r in edges), sorted(weights))
+        labels = cluster.hdbscan(df, vector_col="vector", most=most, chunk=chunk).orderBy("id").collect()
+        assert [len({r["label"] for r in labels[k : k + 20]} - {-1}) for k in (0, 20, 40)] == [1, 1, 1]
+
+
+def test_clusters_of_few_or_null_vectors(spark):
+    df = spark.createDataFrame([(1, [0.5, 1.0]), (2, None)], "id long, embedding array<double>")
+    assert sorted(tuple(r) for r in cluster.hdbscan(df).collect()) == [(1, -1), (2, -1)]
+    assert cluster.hdbscan(df.limit(0)).collect() == []
+
+
+def test_block_products_dealt_over_chunks(spark):
+    def keep(a, b):
+        i, j = np.nonzero(a.rows @ b.rows.T > 10)
+        return pd.DataFrame({"a": a.ids[i], "b": b.ids[j]})
+
+    points, df = _cloud(spark)
+    odd = df.unionByName(spark.createDataFrame([(100, None), (101, [1.0]), (102, [None, 1.0, 1.0])], df.schema))
+    want = sorted(zip(*map(list, np.nonzero(points @ points.T > 10)), strict=True))
+    for most in (1000, 10):
+        found = block_products(odd, odd, keep, "a long, b long", most, 9)
+        assert sorted(tuple(r) for r in found.collect()) == want
+
+
 def test_folder_ingestion(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

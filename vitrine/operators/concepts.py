@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.functions.vectors import all_pairs, dot, normalise
+from vitrine.functions.vectors import Block, block_products, dot, normalise
 
 
 def centroids(vectors: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
@@ -48,39 +50,39 @@ def prompts(texts: DataFrame, templates: list[str]) -> DataFrame:
     return texts.select("concept", "text", F.explode(filled).alias("prompt"))
 
 
-def _pairs(concepts: DataFrame, keep_pair: Column) -> DataFrame:
-    left = concepts.select(F.col("name").alias("name1"), F.col("embedding").alias("e1"))
-    right = concepts.select(F.col("name").alias("name2"), F.col("embedding").alias("e2"))
-    return left.join(right, F.col("name1") != F.col("name2")).withColumn("similarity", dot(F.col("e1"), F.col("e2"))).filter(keep_pair)
+def _products(left: DataFrame, right: DataFrame, threshold: float | None, scale: float = 1.0) -> DataFrame:
+    """(a, b, score) of the pairs of two sets (id, vector) with a scaled product of more than the threshold, if there is one."""
+
+    def keep(a: Block, b: Block) -> pd.DataFrame:
+        score = (a.rows @ b.rows.T) * scale
+        i, j = np.nonzero(~np.isnan(score) if threshold is None else score > threshold)
+        return pd.DataFrame({"a": a.ids[i], "b": b.ids[j], "score": score[i, j]})
+
+    a, b = (df.schema["id"].dataType.simpleString() for df in (left, right))
+    return block_products(left, right, keep, f"a {a}, b {b}, score double")
 
 
 def assessment_max(concepts: DataFrame) -> DataFrame:
     """(name, max_similarity) to concepts of other names; a name that stands alone has no row."""
-    return _pairs(concepts, F.lit(True)).groupBy(F.col("name1").alias("name")).agg(F.max("similarity").alias("max_similarity"))
+    rows = concepts.select(F.col("name").alias("id"), F.col("embedding").alias("vector"))
+    return _products(rows, rows, None).filter("a <> b").groupBy(F.col("a").alias("name")).agg(F.max("score").alias("max_similarity"))
 
 
 def assessment_pairs(concepts: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(name1, name2, similarity) of more than the threshold, both ways round."""
-    return _pairs(concepts, F.col("similarity") > threshold).select("name1", "name2", "similarity")
+    rows = concepts.select(F.col("name").alias("id"), F.col("embedding").alias("vector"))
+    found = _products(rows, rows, threshold).filter("a <> b")
+    return found.select(F.col("a").alias("name1"), F.col("b").alias("name2"), F.col("score").alias("similarity"))
 
 
 def close_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) with a < b of unit vectors with a product over the threshold, by block products."""
-    import numpy as np
-    import pandas as pd
-
-    def keep(a, b, products):
-        i, j = np.nonzero((products > threshold) & (a[:, None] < b[None, :]))
-        return pd.DataFrame({"a": a[i], "b": b[j], "similarity": products[i, j]})
-
-    return all_pairs(vectors, "id", "embedding", keep, "a long, b long, similarity double")
+    rows = vectors.select("id", F.col("embedding").alias("vector"))
+    return _products(rows, rows, threshold).filter("a < b").withColumnRenamed("score", "similarity")
 
 
 def prompt_scores(image_vectors: DataFrame, prompt_vectors: DataFrame, scale: float = 100.0, threshold: float = 30.0) -> DataFrame:
     """(image_id, prompt, score) of scaled products of more than the threshold."""
-    from vitrine.functions.vectors import paired
-
-    scored = paired(image_vectors, prompt_vectors).select(
-        "image_id", "prompt", (dot(F.col("embedding"), F.col("prompt_embedding")) * scale).alias("score")
-    )
-    return scored.filter(F.col("score") > threshold)
+    rows = image_vectors.select(F.col("image_id").alias("id"), F.col("embedding").alias("vector"))
+    prompts = prompt_vectors.select(F.col("prompt").alias("id"), F.col("prompt_embedding").alias("vector"))
+    return _products(rows, prompts, threshold, scale).select(F.col("a").alias("image_id"), F.col("b").alias("prompt"), "score")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.functions.vectors import cosine_distance, norm, paired
+from vitrine.functions.vectors import Block, block_products, cosine_distance
 
 
 def _literal(vector: list[float]) -> Column:
@@ -25,6 +27,23 @@ def nearest_images(images: DataFrame, vectors: DataFrame, vector: list[float], k
     return joined.select("image_id", "filename", "distance").orderBy(F.asc_nulls_last("distance"), "image_id").limit(k)
 
 
+def _close(vectors: DataFrame, references: DataFrame, threshold: float) -> DataFrame:
+    """(id, key, n, least, total, score) of vectors (id, vector) and keyed references (id, vector) within threshold."""
+
+    def keep(a: Block, b: Block) -> pd.DataFrame:
+        d = 1 - np.clip(a.unit() @ b.unit().T, -1, 1)
+        i, j = np.nonzero(d < threshold)
+        d = d[i, j]
+        pairs = pd.DataFrame({"id": a.ids[i], "key": b.ids[j], "d": d, "score": np.exp(-d)})
+        return pairs.groupby(["id", "key"], as_index=False).agg(n=("d", "size"), least=("d", "min"), total=("d", "sum"), score=("score", "sum"))
+
+    names = {"id": vectors.schema["id"].dataType.simpleString(), "key": references.schema["id"].dataType.simpleString()}
+    parts = block_products(vectors, references, keep, f"id {names['id']}, key {names['key']}, n long, least double, total double, score double")
+    return parts.groupBy("id", "key").agg(
+        F.sum("n").alias("n"), F.min("least").alias("least"), F.sum("total").alias("total"), F.sum("score").alias("score")
+    )
+
+
 def concept_vectors(concept_images: DataFrame, sets: DataFrame, concept_id) -> DataFrame:
     """(embedding) of a concept's reference images."""
     own = sets.filter(F.col("concept_id") == concept_id).select(F.col("id").alias("concept_image_set_id"))
@@ -35,22 +54,12 @@ def concept_top_images(
     images: DataFrame, vectors: DataFrame, concept_images: DataFrame, sets: DataFrame, concept_id, threshold: float = 0.2, limit: int = 50
 ) -> DataFrame:
     """(image_id, filename, match_count, avg_distance, score) by falling score: sums of exp(-distance) within threshold."""
-    references = concept_vectors(concept_images, sets, concept_id).withColumn("reference_norm", norm(F.col("reference")))
-    rows = with_filenames(images, vectors).withColumn("own_norm", norm(F.col("embedding")))
-    distance = cosine_distance(F.col("embedding"), F.col("reference"), F.col("own_norm"), F.col("reference_norm"))
-    return (
-        paired(rows, references)
-        .select("image_id", "filename", distance.alias("distance"))
-        .filter((F.col("distance") < threshold) & ~F.isnan("distance"))
-        .groupBy("image_id", "filename")
-        .agg(
-            F.count(F.lit(1)).alias("match_count"),
-            F.avg("distance").alias("avg_distance"),
-            F.sum(F.exp(-F.col("distance"))).alias("score"),
-        )
-        .orderBy(F.desc("score"), "image_id")
-        .limit(limit)
-    )
+    references = concept_vectors(concept_images, sets, concept_id).select(F.lit(0).alias("id"), F.col("reference").alias("vector"))
+    own = vectors.select(F.col("image_id").alias("id"), F.col("embedding").alias("vector"))
+    near = _close(own, references, threshold).withColumnRenamed("id", "image_id")
+    named = near.join(images.select(F.col("id").alias("image_id"), "filename"), "image_id")
+    found = named.select("image_id", "filename", F.col("n").alias("match_count"), (F.col("total") / F.col("n")).alias("avg_distance"), "score")
+    return found.orderBy(F.desc("score"), "image_id").limit(limit)
 
 
 def _references(concept_images: DataFrame, sets: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -93,10 +102,9 @@ def nearest_references(
 def match_counts(images: DataFrame, vectors: DataFrame, concept_images: DataFrame, sets: DataFrame, threshold: float = 0.2) -> DataFrame:
     """(image_id, concept_id, matches, least_distance): how often each image meets each concept within threshold."""
     named = sets.select(F.col("id").alias("concept_image_set_id"), "concept_id")
-    references = concept_images.join(named, "concept_image_set_id").select(
-        "concept_id", F.col("embedding").alias("reference"), norm(F.col("embedding")).alias("reference_norm")
+    references = concept_images.join(named, "concept_image_set_id").select(F.col("concept_id").alias("id"), F.col("embedding").alias("vector"))
+    known = vectors.join(images.select(F.col("id").alias("image_id")), "image_id", "left_semi")
+    near = _close(known.select(F.col("image_id").alias("id"), F.col("embedding").alias("vector")), references, threshold)
+    return near.select(
+        F.col("id").alias("image_id"), F.col("key").alias("concept_id"), F.col("n").alias("matches"), F.col("least").alias("least_distance")
     )
-    rows = with_filenames(images, vectors).withColumn("own_norm", norm(F.col("embedding")))
-    distance = cosine_distance(F.col("embedding"), F.col("reference"), F.col("own_norm"), F.col("reference_norm"))
-    near = paired(rows, references).select("image_id", "concept_id", distance.alias("d")).filter(F.col("d") < threshold)
-    return near.groupBy("image_id", "concept_id").agg(F.count(F.lit(1)).alias("matches"), F.min("d").alias("least_distance"))

@@ -364,7 +364,7 @@ def close_vector_pairs(c: Catalogue) -> DataFrame:
     return rounded(concepts.close_pairs(c.vectors, 0.4), "similarity")
 
 
-TEMPLATES = ["a picture of {}", "a poster about {}", "{} as a drawing"]
+TEMPLATES = ["{} on a shelf", "a poster about {}", "{} as a drawing"]
 
 
 @query(" union all ".join(f"select concat('c', label::varchar) as concept, concat('thing ', label::varchar) as text, replace('{t}', '{{}}', concat('thing ', label::varchar)) as prompt from (select distinct label from embeddings)" for t in TEMPLATES))
@@ -440,6 +440,13 @@ def metrics_latest(c: Catalogue) -> DataFrame:
     return ingest.latest_metrics(rows).select("image_id", F.round("total_time_ms", 6).alias("total_time_ms"))
 
 
+@query("""select id, round(list(d order by d)[5], 5) as core
+from (select v.id, list_distance(v.embedding, w.embedding) as d from vectors v, vectors w) group by id""", "vectors")
+def core_distances(c: Catalogue) -> DataFrame:
+    found = cluster.core_distances(c.vectors.select("id", F.col("embedding").alias("vector")), 5)
+    return found.withColumn("core", F.round("core", 5))
+
+
 @query()
 def cluster_labels(c: Catalogue) -> DataFrame:
     return cluster.hdbscan(c.vectors)
