@@ -288,6 +288,38 @@ def test_folder_ingestion(spark, tmp_path):
     assert {r["image_id"]: r["result"] for r in got.collect()} == {"a.jpg": 10, "b.jpg": None}
 
 
+def test_folder_recognition_takes_failed_images_again(spark, tmp_path):
+    folder, root = tmp_path / "in", str(tmp_path / "tables")
+    folder.mkdir()
+    for name, data in (("a.jpg", b"ok"), ("b.jpg", b"x"), ("c.MP4", b"x")):
+        (folder / name).write_bytes(data)
+
+    def decode(content: bytes):
+        if content == b"x":
+            raise ValueError("no picture")
+        return content, 4, 2
+
+    readers = {"en": lambda p: [([(0, 0), (1, 2)], p.decode(), 0.9)], "de": lambda p: []}
+    states = []
+    for _ in range(2):
+        out = ingest.recognise_folder(spark, str(folder), root, decode, readers)
+        states.append(sorted(r["status"] for r in out.collect()))
+    assert states == [["done", "failed"], ["failed"]]
+    rows = {name: tables.stored(spark, root, name) for name in ("images", "ocr_texts", "image_metrics", "processing_errors", "image_processing_status")}
+    assert {n: df.count() for n, df in rows.items()} == {
+        "images": 2, "ocr_texts": 1, "image_metrics": 1, "processing_errors": 2, "image_processing_status": 6
+    }
+    told = rows["ocr_texts"].first()
+    assert (told["text"], told["language"], told["bbox"]) == ("ok", "en", [[0.0, 0.0], [1.0, 2.0]])
+
+
+def test_embedding_of_no_file_and_no_length(spark):
+    df = spark.createDataFrame([(1, b"ab"), (2, None), (3, b"")], "id long, content binary")
+    got = {r["image_id"]: r for r in ingest.embed(df, lambda batch: [[3.0 * len(x), 4.0 * len(x)] for x in batch]).collect()}
+    assert np.allclose(got["1"]["embedding"], [0.6, 0.8])
+    assert got["2"]["error_message"] == "no file" and got["3"]["error_message"] == "vector of length 0"
+
+
 def test_structured_description(spark):
     got = spark.range(1).select(text.structured_description(F.lit('Sure: {"description": "d", "tags": ["x"]} ok')).alias("d")).first()["d"]
     assert (got["description"], got["tags"], got["template"]) == ("d", ["x"], None)

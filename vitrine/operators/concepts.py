@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.vectors import Block, block_products, dot, normalise
@@ -39,6 +39,42 @@ def concept_report(vectors: DataFrame, concept: str = "concept", subset: str = "
     return whole.unionByName(parts).orderBy(F.desc("mean_similarity"), "concept")
 
 
+def image_concept_tables(vectors: DataFrame) -> dict[str, DataFrame]:
+    """``concepts``, ``concept_image_sets`` and ``concept_images`` from (concept, subset, filename, embedding).
+
+    Vectors of no subset belong to their concept's set ``main``. Its centroid, as the concept's, is that of all the
+    concept's vectors; a subset's is its own. Ids count from 1 by name, images within the range of their set.
+    """
+    named = vectors.withColumn("set", F.coalesce("subset", F.lit("main")))
+    whole = centroids(vectors, ["concept"]).select("concept", F.col("centroid").alias("embedding"))
+    own = centroids(vectors.filter(F.col("subset").isNotNull()), ["concept", "subset"])
+    sets = whole.select("concept", F.lit("main").alias("set"), F.col("embedding").alias("centroid_embedding")).unionByName(
+        own.filter("subset <> 'main'").select("concept", F.col("subset").alias("set"), F.col("centroid").alias("centroid_embedding"))
+    )
+    concepts = whole.withColumn("id", F.row_number().over(Window.orderBy("concept")))  # a row a concept
+    counts = named.groupBy("concept", "set").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("concept", "set")  # a row a set
+    placed = sets.join(counts, ["concept", "set"], "left").withColumns({
+        "set_id": F.row_number().over(before),
+        "start": F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    })
+    inside = F.row_number().over(Window.partitionBy("concept", "set").orderBy("filename"))
+    members = named.withColumn("place", inside).join(placed.select("concept", "set", "set_id", "start"), ["concept", "set"])
+    floats = "array<float>"
+    return {
+        "concepts": concepts.select("id", F.col("concept").alias("name"), F.col("embedding").cast(floats).alias("embedding")),
+        "concept_image_sets": placed.join(concepts.select("concept", "id"), "concept").select(
+            F.col("set_id").alias("id"), F.col("id").alias("concept_id"), F.col("set").alias("name"),
+            F.when(F.col("set") == "main", F.col("concept")).otherwise(F.col("set")).alias("directory"),
+            F.col("centroid_embedding").cast(floats).alias("centroid_embedding"),
+        ),
+        "concept_images": members.select(
+            (F.col("start") + F.col("place")).cast("int").alias("id"), F.col("set_id").alias("concept_image_set_id"), "filename",
+            F.col("embedding").cast(floats).alias("embedding"),
+        ),
+    }
+
+
 def text_concepts(texts: DataFrame, templates: list[str], embed) -> DataFrame:
     """Centroids of prompts: every template with every text of a concept, embedded by ``embed(DataFrame)``."""
     return centroids(embed(prompts(texts, templates)), ["concept"])

@@ -56,14 +56,19 @@ def derive_tags(texts: DataFrame, rules: list[tuple[str, str, str]], matcher: Ma
     return pairs.select("image_id", "t.key", "t.value").distinct().withColumn("source", F.lit(source))
 
 
-def tags_from_ocr(ocr: DataFrame, rules: list[tuple[str, str, str]], least: float = 0.4) -> DataFrame:
+def of_images(texts: DataFrame, images: DataFrame | None) -> DataFrame:
+    """The texts whose image is there; all of them where no images are given."""
+    return texts if images is None else texts.join(images.select(F.col("id").alias("image_id")), "image_id", "left_semi")
+
+
+def tags_from_ocr(ocr: DataFrame, rules: list[tuple[str, str, str]], least: float = 0.4, images: DataFrame | None = None) -> DataFrame:
     """Substring rules over recognised texts of at least the least confidence; texts without one are left out."""
-    return derive_tags(ocr.filter(F.col("confidence") >= least), rules, contains_token, "OCR")
+    return derive_tags(of_images(ocr.filter(F.col("confidence") >= least), images), rules, contains_token, "OCR")
 
 
-def tags_from_descriptions(descriptions: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+def tags_from_descriptions(descriptions: DataFrame, rules: list[tuple[str, str, str]], images: DataFrame | None = None) -> DataFrame:
     """Whole-word rules over generated descriptions."""
-    return derive_tags(descriptions, rules, holds_word, "Ollama")
+    return derive_tags(of_images(descriptions, images), rules, holds_word, "Ollama")
 
 
 def tagged_images(tags: DataFrame) -> DataFrame:

@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions import text, vectors
 from vitrine.operators import cluster, concepts, rules, search, similar
-from vitrine.plans.fixtures import Catalogue, over
+from vitrine.plans.fixtures import Catalogue, over, scratch
 from vitrine.sources import tables
 from vitrine.streaming import ingest
 
@@ -392,7 +392,7 @@ def prompt_scores(c: Catalogue) -> DataFrame:
     return concepts.prompt_scores(c.vectors, prompts).withColumn("score", F.round("score", 4))
 
 
-KINDS = ["image/jpeg", "image/png; charset=x", "text/html", "image/webp"]
+KINDS = ["image/jpeg", "IMAGE/PNG; charset=x", "text/html", "image/WebP"]
 
 
 @query("""select id, case id % 4 when 0 then '.jpg' when 1 then '.png' when 2 then '.bin' else '.webp' end as ext,
@@ -455,3 +455,207 @@ def cluster_labels(c: Catalogue) -> DataFrame:
 @query()
 def cluster_summary(c: Catalogue) -> DataFrame:
     return cluster.cluster_summary(cluster.hdbscan(c.vectors))
+
+
+WITHIN = "(select id from images where id in (select image_id from tags where key = 'lang' and value in ('fr', 'de')))"
+
+
+@query(f"""with_page as (select id, filename, created_at, row_number() over (order by created_at desc, id desc) - 1 as pos
+  from images where id in {WITHIN} order by created_at desc, id desc limit 21)
+select 'item' as part, pos, concat('/api/images/', id::varchar) as name, filename as value, 0::double as count,
+  (select count(*) from ocr_texts o where o.image_id = p.id and confidence > 0.8) as texts, (select count(*) from tags t where t.image_id = p.id) as tags
+from with_page p where pos < 20
+union all select 'facet', row_number() over (partition by key order by value) - 1, key, value, count(*)::double, 0, 0
+from tags where image_id in {WITHIN} group by key, value
+union all select 'next', 0, max(id::varchar) filter (pos = 20), case when count(*) > 20 then 'true' else 'false' end, 0, 0, 0 from with_page""".replace("with_page as", ", with_page as", 1), "images ocr_texts tags")
+def search_response(c: Catalogue) -> DataFrame:
+    """A whole response, of a request that went through the form it has in a URL."""
+    request = search.from_url(search.to_url(search.SearchRequest(tags={"lang": {"fr", "de"}}, limit=20)))
+    found = search.search(c.images, c.ocr_texts, c.tags, request)
+    following, zero = search.decode_cursor(found.next_cursor), F.lit(0).cast("long")
+    order = Window.orderBy(F.desc_nulls_first("created_at"), F.desc("id"))  # of a page
+    at = c.images.select(F.col("id").cast("long").alias("id"), "created_at")
+    items = found.items.join(at, "id").withColumn("pos", F.row_number().over(order) - 1).select(
+        F.lit("item").alias("part"), F.col("pos").cast("long").alias("pos"), F.col("imageUrl").alias("name"), F.col("originalFileName").alias("value"),
+        F.lit(0.0).alias("count"), F.size("text").cast("long").alias("texts"), F.size("tags").cast("long").alias("tags"),
+    )
+    facets = found.facets.select("name", F.posexplode("buckets").alias("pos", "b")).select(
+        F.lit("facet").alias("part"), F.col("pos").cast("long").alias("pos"), "name", "b.value", "b.count", zero.alias("texts"), zero.alias("tags")
+    )
+    last = ("next", 0, str(following.id) if following else None, str(found.has_next).lower(), 0.0, 0, 0)
+    return items.unionByName(facets).unionByName(c.spark.createDataFrame([last], items.schema))
+
+
+@query("select 0::bigint as items, false as has_next")
+def search_short_query(c: Catalogue) -> DataFrame:
+    found = search.search(c.images, c.ocr_texts, c.tags, search.SearchRequest(query="e", least_query=3))
+    return found.items.agg(F.count(F.lit(1)).alias("items")).withColumn("has_next", F.lit(found.has_next))
+
+
+@query("""select count(*) as items, count(distinct id) as images, sum(id)::bigint as ids from images
+where id in (select image_id from tags where key = 'quality' and value = '0')""", "images tags")
+def search_scroll(c: Catalogue) -> DataFrame:
+    """All pages of a search, one after the other."""
+    request = search.SearchRequest(tags={"quality": {"0"}}, limit=100, cursor_from="returned")
+    out = None
+    for response in search.scroll(c.images, c.ocr_texts, c.tags, request):
+        ids = response.items.select(F.col("id").cast("long").alias("id"))
+        out = ids if out is None else out.unionByName(ids)
+    return out.agg(F.count(F.lit(1)).alias("items"), F.countDistinct("id").alias("images"), F.sum("id").alias("ids"))
+
+
+@query(_tag_sql("(select * from descriptions where image_id in (select id from images where id % 3 = 0))", rules.flatten(WORD_RULES), f"regexp_matches(text, '(^|{EDGE})' || token || '($|{EDGE})', 'i')", "Ollama"), "images descriptions")
+def tags_of_known_images(c: Catalogue) -> DataFrame:
+    """Descriptions of images that are not there give no tags."""
+    return rules.tags_from_descriptions(c.descriptions, rules.flatten(WORD_RULES), c.images.filter("id % 3 = 0"))
+
+
+def _contents(c: Catalogue) -> DataFrame:
+    """Texts of documents in place of files; a reader of theirs fails on some."""
+    return c.table("documents").select(F.col("doc_id").alias("id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+
+
+def _decode(content: bytes):
+    if len(content) % 7 == 0:
+        raise ValueError("broken")
+    return content, len(content), 2 * len(content)
+
+
+def _first(content: bytes):
+    return [([(0, 0), (len(content), 1)], content[:1].decode("utf-8", "replace"), 0.5)]
+
+
+def _sizes(content: bytes):
+    return [([(0, 0), (1, 1)], str(len(content)), 0.25)] * 2
+
+
+BYTES = "(select doc_id::varchar as image_id, octet_length(encode(coalesce(text, ''))) as n from documents)"
+
+
+@query(f"""select image_id, language, count(*) as texts, round(avg(confidence), 6) as confidence, max(x) as width
+from (select image_id, 'en' as language, 0.5 as confidence, n::double as x from {BYTES} where n % 7 <> 0
+  union all select image_id, 'ru', 0.25, 1 from {BYTES}, range(2) where n % 7 <> 0) group by image_id, language""")
+def recognised_texts(c: Catalogue) -> DataFrame:
+    outcomes = ingest.recognise(_contents(c), _decode, {"en": _first, "ru": _sizes}, "ocr")
+    texts = ingest.recognised_tables(outcomes, "ocr")["ocr_texts"]
+    return texts.groupBy("image_id", "language").agg(
+        F.count(F.lit(1)).alias("texts"), F.round(F.avg("confidence"), 6).alias("confidence"), F.max(F.col("bbox")[1][0]).alias("width")
+    )
+
+
+@query(f"""select image_id, 'ocr' as pipeline, case when n % 7 = 0 then 'failed' else 'done' end as status,
+case when n % 7 = 0 then 'ValueError: broken' end as error_message from {BYTES}""")
+def recognition_status(c: Catalogue) -> DataFrame:
+    outcomes = ingest.recognise(_contents(c), _decode, {"en": _first}, "ocr")
+    return ingest.recognised_tables(outcomes, "ocr")["image_processing_status"].select("image_id", "pipeline", "status", "error_message")
+
+
+def _shape(contents: list[bytes]):
+    if any(len(x) % 11 == 0 for x in contents):
+        raise ValueError("broken")
+    return [(len(x) % 5, len(x) % 3, 2) for x in contents]
+
+
+@query(f"""select image_id, round((n % 5) / s, 4) as x, round((n % 3) / s, 4) as y, round(2 / s, 4) as z, case when n % 11 = 0 then 'ValueError: broken' end as error_message
+from (select *, case when n % 11 <> 0 then sqrt((n % 5) * (n % 5) + (n % 3) * (n % 3) + 4) end as s from {BYTES})""")
+def embedding_job(c: Catalogue) -> DataFrame:
+    """Vectors of length 1 from a model that takes batches and fails on some contents."""
+    parts = {name: F.round(F.col("embedding")[i].cast("double"), 4) for i, name in enumerate("xyz")}
+    return ingest.embed(_contents(c), _shape).select("image_id", *(v.alias(k) for k, v in parts.items()), "error_message")
+
+
+@query(f"""select image_id, case when n % 7 <> 0 then concat(n::varchar, ' bytes') end as text, case when n % 7 = 0 then 'ValueError: broken' end as message from {BYTES}""")
+def description_job(c: Catalogue) -> DataFrame:
+    found = ingest.describe(_contents(c), lambda content: f"{_decode(content)[1]} bytes")
+    errors = found["processing_errors"].select("image_id", F.lit(None).cast("string").alias("text"), "message")
+    return found["descriptions"].withColumn("message", F.lit(None).cast("string")).unionByName(errors)
+
+
+GIVEN = """given as (select concat('c', s.concept_id::varchar) as concept, case when s.id % 2 = 1 then s.name end as subset, r.filename, r.embedding
+  from refs r join sets s on r.concept_image_set_id = s.id),
+places as (select concept, coalesce(subset, 'main') as name, count(*) as n from given group by all),
+every as (select distinct concept, 'main' as name from given union select concept, name from places),
+numbered as (select concept, name, coalesce(n, 0) as n, row_number() over (order by concept, name) as id,
+  dense_rank() over (order by concept) as concept_id from every left join places using (concept, name)),
+m as (select concept, 'main' as name, embedding from given union all select concept, subset, embedding from given where subset is not null),
+e as (select concept, name, unnest(embedding) as x, generate_subscripts(embedding, 1) as pos from m),
+a as (select concept, name, pos, avg(x) as x from e group by all),
+centre as (select concept, name, list(x order by pos)[1] / sqrt(sum(x * x)) as first from a group by concept, name)"""
+
+
+def _given(c: Catalogue) -> DataFrame:
+    sets = c.concept_image_sets.select(
+        F.col("id").alias("concept_image_set_id"), F.concat(F.lit("c"), F.col("concept_id").cast("string")).alias("concept"),
+        F.when(F.col("id") % 2 == 1, F.col("name")).alias("subset"),
+    )
+    return c.concept_images.join(sets, "concept_image_set_id").select("concept", "subset", "filename", "embedding")
+
+
+@query(over("sets refs", "").rstrip() + f""", {GIVEN}
+select id::int as id, concept_id::int as concept_id, concept, name, round(first, 5) as first from numbered join centre using (concept, name)""")
+def concept_set_table(c: Catalogue) -> DataFrame:
+    made = concepts.image_concept_tables(_given(c))
+    named = made["concepts"].select(F.col("id").alias("concept_id"), F.col("name").alias("concept"))
+    sets = made["concept_image_sets"].join(named, "concept_id")
+    return sets.select("id", "concept_id", "concept", "name", F.round(F.col("centroid_embedding")[0].cast("double"), 5).alias("first"))
+
+
+@query(over("sets refs", "").rstrip() + f""", {GIVEN}
+select (row_number() over (order by g.concept, n.name, g.filename))::int as id, n.id::int as concept_image_set_id, g.filename
+from given g join numbered n on n.concept = g.concept and n.name = coalesce(g.subset, 'main')""")
+def concept_image_table(c: Catalogue) -> DataFrame:
+    return concepts.image_concept_tables(_given(c))["concept_images"].drop("embedding")
+
+
+@query("""select filename from (select concat(filename, case when id % 3 = 0 then '.MP4' else '' end) as filename from images)
+where filename not ilike '%.mp4'""", "images")
+def files_without_videos(c: Catalogue) -> DataFrame:
+    name = F.concat("filename", F.when(F.col("id") % 3 == 0, F.lit(".MP4")).otherwise(F.lit("")))
+    return c.images.select(name.alias("filename")).filter(~text.is_video(F.col("filename")))
+
+
+@query("""select image_id, key, value, source from tags where source <> 'OCR' union all
+select image_id, key, value, source from tags where source = 'OCR' and image_id % 4 = 0""", "tags")
+def tags_replaced_by_source(c: Catalogue) -> DataFrame:
+    path = f"{scratch(c.spark)}/tags"
+    tables.replace_sources(c.tags, path, ["OCR", "Ollama"])
+    tables.replace_sources(c.tags.filter("source = 'OCR' and image_id % 4 = 0"), path, ["OCR"])
+    return c.spark.read.parquet(path).select("image_id", "key", "value", "source")
+
+
+@query("select id, count(*) as rows from concepts, range(2) group by id", "concepts")
+def rows_added(c: Catalogue) -> DataFrame:
+    """A full refresh and an insert after it."""
+    path = f"{scratch(c.spark)}/concepts"
+    tables.append(c.concepts, path)
+    tables.replace_all(c.concepts, path)
+    tables.append(c.concepts, path)
+    return c.spark.read.parquet(path).groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("select id, name from concepts", "concepts")
+def report_read_back(c: Catalogue) -> DataFrame:
+    path = f"{scratch(c.spark)}/report"
+    tables.report(c.concepts, path, F.asc("id"))
+    files = tables.listing(c.spark, path).filter(F.endswith("filename", F.lit(".csv")))
+    contents = tables.file_bytes(c.spark, path, files.withColumn("id", F.lit(0)))
+    lines = contents.select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).filter("line <> '' and line <> 'id,name'")
+    return lines.select(F.split_part("line", F.lit(","), F.lit(1)).cast("long").alias("id"), F.split_part("line", F.lit(","), F.lit(2)).alias("name"))
+
+
+@query("""select id, p as pos, case p when 0 then id + 0.5 else 3 end::double as x, case p when 0 then 2 * id else 4 end::double as y
+from images, (values (0::bigint), (1::bigint)) as t(p)""", "images")
+def box_points(c: Catalogue) -> DataFrame:
+    box = F.concat(F.lit("[["), (F.col("id") + 0.5).cast("string"), F.lit(","), (2 * F.col("id")).cast("string"), F.lit("],[3,4]]"))
+    points = c.images.select("id", F.posexplode(text.polygon(box)).alias("pos", "p"))
+    return points.select("id", F.col("pos").cast("long").alias("pos"), F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
+@query("""select id, case when id % 5 <> 0 then concat('No ', id::varchar) end as description, case when id % 5 <> 0 then concat('t', id::varchar) end as tag
+from images""", "images")
+def description_fields(c: Catalogue) -> DataFrame:
+    """Fields of the JSON object in an answer; some answers have none."""
+    i = F.col("id").cast("string")
+    told = F.concat(F.lit('Here it is: {"description": "No '), i, F.lit('", "tags": ["t'), i, F.lit('"]} - done'))
+    found = text.structured_description(F.when(F.col("id") % 5 == 0, F.lit("I cannot tell")).otherwise(told))
+    return c.images.select("id", found.alias("d")).select("id", "d.description", F.get("d.tags", F.lit(0)).alias("tag"))

@@ -12,6 +12,14 @@ def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[name])
 
 
+def stored(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The table ``name`` in a folder, with the columns of its schema; empty where it has not been written."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return empty(spark, name)
+    return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
+
+
 def one(df: DataFrame) -> Row:
     """The only row; an error for none or several. Two rows at most reach the driver."""
     rows = df.limit(2).collect()

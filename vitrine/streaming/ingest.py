@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,6 +101,122 @@ def ingest_folder(images: DataFrame, contents: DataFrame, status: DataFrame, mod
     return apply_model(found, read, result_type, pipeline)
 
 
+#: What recognition gives for an image.
+RECOGNISED = (
+    "struct<width:int,height:int,preprocess_time_ms:double,ocr_time_ms:double,"
+    "texts:array<struct<text:string,confidence:double,bbox:array<array<double>>,language:string>>>"
+)
+
+
+def recognise(inputs: DataFrame, decode: Callable, readers: dict[str, Callable], pipeline: str) -> DataFrame:
+    """Outcomes, as of ``apply_model``, of recognising text in inputs (id, content).
+
+    ``decode`` gives (picture, width, height) for a content, and each language's reader (box, text, confidence) rows for a
+    picture. Every language's texts are kept; a null content is a failure, as is whatever any of them raises.
+    """
+    def read(content):
+        if content is None:
+            raise FileNotFoundError("no file")
+        began = time.perf_counter()
+        picture, width, height = decode(content)
+        decoded = time.perf_counter()
+        texts = [
+            {"text": text, "confidence": float(sure), "bbox": [[float(v) for v in point] for point in box], "language": language}
+            for language, reader in readers.items()
+            for box, text, sure in reader(picture)
+        ]
+        took = {"preprocess_time_ms": (decoded - began) * 1000, "ocr_time_ms": (time.perf_counter() - decoded) * 1000}
+        return {"width": int(width), "height": int(height), **took, "texts": texts}
+
+    return apply_model(inputs, read, RECOGNISED, pipeline)
+
+
+def recognised_tables(outcomes: DataFrame, stage: str) -> dict[str, DataFrame]:
+    """The tables of ``recognise``'s outcomes: texts, metrics by part of the images done, status and errors.
+
+    Contents come with the scan, which times no single file: the reading time is 0.
+    """
+    now = F.current_timestamp().cast("timestamp_ntz")
+    done = outcomes.filter(F.col("status") == DONE)
+    texts = done.select(F.expr("uuid()").alias("id"), "image_id", F.inline("result.texts")).withColumn("created_at", now)
+    parts = {
+        "read_time_ms": F.lit(0.0), "preprocess_time_ms": F.col("result.preprocess_time_ms"),
+        "ocr_time_ms": F.col("result.ocr_time_ms"), "total_time_ms": F.col("total_time_ms"),
+    }
+    metrics = done.select("image_id", *(c.cast("decimal(38,18)").alias(name) for name, c in parts.items()), now.alias("created_at"))
+    return outcome_tables(outcomes, stage) | {"ocr_texts": texts, "image_metrics": metrics}
+
+
+def recognise_folder(spark, folder: str, root: str, decode: Callable, readers: dict[str, Callable], pipeline: str = "ocr") -> DataFrame:
+    """Registers a folder's files, claims those without a done or running state, recognises them and adds to the tables
+    in ``root``. Gives the run's outcomes.
+
+    Videos are left out. Claims and outcomes are stored before anything is derived from them, so that a task that runs
+    again sees the same ones. One run at a time.
+    """
+    from vitrine.functions.text import is_video
+    from vitrine.sources.tables import append, file_bytes, listing, stored
+
+    run = uuid.uuid4().hex
+    files = listing(spark, folder, is_video(F.col("filename"))).distinct()
+    known = stored(spark, root, "images")
+    new = files.join(known.select("filename"), "filename", "left_anti")
+    append(new.select(F.expr("uuid()").alias("id"), "filename", F.current_timestamp().cast("timestamp_ntz").alias("created_at")), f"{root}/images")
+    here = stored(spark, root, "images").join(files, "filename", "left_semi")
+    status = stored(spark, root, "image_processing_status")
+    state = status.withColumn("at", F.coalesce("finished_at", "started_at"))
+    last = latest(state, ["image_id", "pipeline"], "at")
+    claim(claimable(here, last, pipeline), pipeline).write.parquet(f"{root}/claims/{run}")
+    claims = spark.read.parquet(f"{root}/claims/{run}")
+    append(claims, f"{root}/image_processing_status")
+    todo = here.join(claims.select(F.col("image_id").alias("id")), "id", "left_semi")
+    recognise(file_bytes(spark, folder, todo), decode, readers, pipeline).write.parquet(f"{root}/outcomes/{run}")
+    outcomes = spark.read.parquet(f"{root}/outcomes/{run}")
+    for name, rows in recognised_tables(outcomes, pipeline).items():
+        append(rows, f"{root}/{name}")
+    return outcomes
+
+
+def embed(inputs: DataFrame, model: Callable[[list[bytes]], object], batch: int = 64) -> DataFrame:
+    """(image_id, embedding, error_message) of inputs (id, content): vectors of length 1 of a model that takes batches.
+
+    A batch that the model raises on is taken again one by one, so that only the contents at fault fail; a null content
+    and a vector of length 0 fail too.
+    """
+    def tried(contents: list[bytes]) -> list[tuple]:
+        try:
+            rows = np.asarray(model(contents), np.float64).reshape(len(contents), -1)
+        except Exception as e:  # noqa: BLE001 - whatever a model raises is recorded
+            return [(None, f"{type(e).__name__}: {e}")] if len(contents) == 1 else [r for c in contents for r in tried([c])]
+        sizes = np.sqrt((rows * rows).sum(axis=1))
+        return [((v / s).astype(np.float32), None) if s > 0 else (None, "vector of length 0") for v, s in zip(rows, sizes, strict=True)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch]
+                there = [c for c in part["content"] if c is not None]
+                found = iter(tried(there) if there else [])
+                rows = [(i, *((None, "no file") if c is None else next(found))) for i, c in zip(part["id"], part["content"], strict=True)]
+                yield pd.DataFrame(rows, columns=["image_id", "embedding", "error_message"])
+
+    schema = "image_id string, embedding array<float>, error_message string"
+    return inputs.select(F.col("id").cast("string").alias("id"), "content").mapInPandas(run, schema)
+
+
+def describe(inputs: DataFrame, model: Callable[[bytes], str], pipeline: str = "description") -> dict[str, DataFrame]:
+    """``descriptions`` (image_id, text) of what the model answers for, and ``processing_errors`` of the rest.
+
+    The two share one computation: put stored outcomes of ``apply_model`` through ``described_tables`` where the model is dear.
+    """
+    return described_tables(apply_model(inputs, model, "string", pipeline), pipeline)
+
+
+def described_tables(outcomes: DataFrame, stage: str) -> dict[str, DataFrame]:
+    done = outcomes.filter(F.col("status") == DONE)
+    return {"descriptions": done.select("image_id", F.col("result").alias("text")), "processing_errors": errors_of(outcomes, stage)}
+
+
 def stream_folder(spark, folder: str, model, result_type: str, pipeline: str, out: str, checkpoint: str):
     """A query that puts new files of a folder through the model and appends the outcomes to ``out``.
 
