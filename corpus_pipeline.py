@@ -22,7 +22,7 @@ LINE_RATIO = 0.02
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the junk nor the toxicity scorer rejects."""
     docs = docs.select(*COLUMNS)
-    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
     return quality.keep_clean(docs, quality.fit(docs.withColumnRenamed("doc_id", "id"), labels))
 
 
