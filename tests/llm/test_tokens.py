@@ -6,9 +6,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vitrine.llm.bpe import as_bytes, encoder
+from vitrine.llm.bpe import as_bytes, as_sizes, encoder
 from vitrine.llm.packing import Limits, best_fit, pack
-from vitrine.llm.token_counts import PrefixCounts, token_prefixes
+from vitrine.llm.token_counts import LOW, PrefixCounts, token_prefixes
 
 TEXTS = [
     "", None, "plain words", "  two  blanks ", "line\n\n line\t\tx", "don't 've  'll", "<|endoftext|> in<|endoftext|>side", "é ü　漢字 🙂\x1c x", "a" * 3000,
@@ -34,22 +34,28 @@ def test_prefix_table_answers_every_prefix(documents, tokenizer, tokenizer_path)
     for i, text in enumerate(TEXTS):
         text = text or ""
         assert (rows[i]["n_bytes"], rows[i]["prefix_tokens"][-1]) == (len(text.encode()), count(text))
-        if len(text) > 100 or "<|" in text:
-            continue
         table = PrefixCounts(text, rows[i]["prefix_bytes"], rows[i]["prefix_tokens"], tokenizer_path)
-        wholes = [len(text[:k].encode()) for k in range(len(text) + 1)]
-        counts = [count(text[:k]) for k in range(len(text) + 1)]
-        at_ends = set(rows[i]["prefix_bytes"])
-        for n, c in zip(wholes, counts, strict=True):
-            if n in at_ends or not text[:k_of(wholes, n)][-1:].isspace():
-                assert table.count(n) == c, (text, n)
-        for budget in range(max(counts) + 1):
-            got = table.longest_within(budget)
-            assert table.count(got) <= budget
-
-
-def k_of(wholes, n):
-    return wholes.index(n)
+        asked = range(len(text) + 1) if len(text) <= 100 else range(0, len(text) + 1, 251)
+        counts = {len(text[:k].encode()): count(text[:k]) for k in asked}
+        assert {n: table.count(n) for n in counts} == counts, text
+        if len(text) <= 100:
+            for budget in range(max(counts.values()) + 1):
+                assert table.longest_within(budget) == max(n for n, c in counts.items() if c <= budget), (text, budget)
+
+
+@settings(max_examples=100, deadline=None)
+@given(PIECES)
+def test_every_prefix_and_budget(pieces):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    known, text = encoder(path, "sizes"), "".join(pieces)
+    ends = np.cumsum(np.array([0, *known.pieces(text, as_sizes)], np.int64))
+    table = PrefixCounts(text, (ends >> 32).tolist(), (ends & LOW).tolist(), path)
+    counts = {len(text[:k].encode()): len(known.library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)}
+    assert {n: table.count(n) for n in counts} == counts
+    for budget in range(max(counts.values()) + 1):
+        assert table.longest_within(budget) == max(n for n, c in counts.items() if c <= budget)
 
 
 def one_by_one(counts, capacity):

@@ -313,6 +313,8 @@ def near_dedup(
     union-sketch filter and are confirmed on the whole sets of words. The component is the smallest id reachable over
     links; one row of each stays. Texts without words and null texts link with nothing. Rows with a null id link with
     nothing, have a null component and stay. Rows repeated with one id are one node. Other columns are not read.
+    Of a component the row with the smallest id stays, so there are no ties; long texts are taken whole, their sets without a
+    bound; an empty table gives an empty result.
     """
     workspace = Workspace(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

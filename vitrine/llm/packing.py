@@ -40,7 +40,8 @@ def token_pieces(
 
     A document's ids (little-endian unsigned 32-bit) end with ``end_id``; longer ones are cut so that only the first
     piece may be shorter than capacity. Null text counts as empty. ``part`` is the task that made a piece and
-    ``local_rank`` its number among that task's pieces of equal length; both hold once the table is stored.
+    ``local_rank`` its number among that task's pieces of equal length; both hold once the table is stored. Rows repeated, and
+    rows without an id, have pieces each; long texts are encoded whole; an empty table has none; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     last = np.array([end_id], "<u4").tobytes()
