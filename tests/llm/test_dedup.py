@@ -150,3 +150,16 @@ def test_filters_and_collisions(spark):
     assert [bytes(r["digest"]) for r in collisions(rows.select("digest", "text")).collect()] == [b"x"]
     grouped = {r["id"]: (r["keep_id"], r["n"]) for r in _by_text(rows, F.min).collect()}
     assert grouped == {1: (1, 2), 3: (1, 2), 2: (2, 1), 4: (4, 2), 5: (4, 2)}
+
+
+def test_only_texts_of_pairs_travel(spark):
+    from vitrine.llm.near_dedup import texts_of
+
+    texts = spark.range(5000).selectExpr("if(id = 7, null, id) id", "concat('text ', id) text")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(100, 4900, 100)] + [(100, 4999)], "a long, b long")
+    for side in "ab":
+        asked = {r[side] for r in pairs.collect()}
+        found = {r[side]: r[f"text_{side}"] for r in texts_of(texts, pairs, side).collect()}
+        assert asked <= set(found) and len(found) < len(asked) + 10
+        assert all(t == f"text {i}" for i, t in found.items())
+    assert texts_of(texts, pairs.limit(0), "a").count() == 0

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .exact_dedup import may_hold, run_filter
 from .word_kernels import shingle_sets, slices
 from .workspace import Workspace
 
@@ -172,6 +173,17 @@ def _verified(params: NearDedupParams):
     return run
 
 
+def texts_of(texts: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+    """(side, text_side) of the texts (id, text) that column ``side`` of the pairs names, and of few others.
+
+    A filter of the named ids goes to the texts, so texts that no pair asks for do not travel.
+    """
+    digest = F.unhex(F.md5(F.col("id").cast("string").cast("binary")))
+    asked = run_filter(pairs.select(F.col(side).alias("id")).select(digest.alias("digest")))
+    found = may_hold(texts.select("id", "text", digest.alias("digest")), asked)
+    return found.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}"))
+
+
 class _Linker:
     """Finds links between sets until no list holds two sets of different components that were not compared."""
 
@@ -179,6 +191,7 @@ class _Linker:
         self.texts, self.params, self.workspace = texts, params, workspace
         self.reps = reps
         self.held = workspace.store(inverted_lists(reps), "lists")
+        workspace.release()
         self.lists = self.held.select("id", "n", "lone", F.explode("listed").alias("value"))
 
     def components(self) -> DataFrame:
@@ -274,12 +287,15 @@ class _Linker:
         joined = pairs.join(b, F.col("b") == F.col("id_b")).join(a, F.col("a") == F.col("id_a"))
         likely_pairs = joined.filter(likely("sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b")
         likely_pairs = self.workspace.store(likely_pairs, f"likely{step}")
-        texts_a = self.texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        texts_b = self.texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+        self.workspace.release()
+        texts_a, texts_b = (texts_of(self.texts, likely_pairs, s) for s in "ab")
         whole = likely_pairs.join(texts_a, "a").join(texts_b, "b").select("a", "b", "text_a", "text_b")
         kind = pairs.schema["a"].dataType.simpleString()
         links = whole.mapInArrow(_verified(self.params), f"a {kind}, b {kind}")
-        return self.workspace.store(links, f"links{step}")
+        links = self.workspace.store(links, f"links{step}")
+        self.workspace.drop(f"likely{step}")
+        self.workspace.release()
+        return links
 
 
 def confirmed_classes(found: DataFrame, texts: DataFrame, params: NearDedupParams, workspace: Workspace) -> DataFrame:
@@ -292,7 +308,7 @@ def confirmed_classes(found: DataFrame, texts: DataFrame, params: NearDedupParam
     of_words = workspace.store(of_words, "sequences")
     classes = of_words.groupBy("key").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     apart = workspace.store(of_words.join(classes, "key").filter("a <> b").select("a", "b", "key", "words"), "apart")
-    text_a, text_b = (texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
+    text_a, text_b = (texts_of(texts, apart, s) for s in "ab")
     pairs = apart.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b")
     equal = pairs.mapInArrow(_verified(replace(params, percent=100)), "a long, b long")
     wrong = workspace.store(apart.join(equal, "a", "left_anti").select("key", "words"), "wrong")
@@ -326,6 +342,7 @@ def near_dedup(
     reps = workspace.store(reps.select("id", "n", "sketch", "prefix"), "reps")
     found = workspace.store(found.select("id", "n", "key"), "keys")
     workspace.drop("sketches")
+    workspace.release()
     linker = _Linker(rows, reps, params, workspace)
     stars = linker.components()
     if stars is not None:
