@@ -123,3 +123,21 @@ def test_best_fit_keeps_every_limit(choose, limits):
 def test_pack_nothing(documents, tokenizer_path):
     packing = pack(documents([]), tokenizer_path, 2)
     assert packing.place(packing.pieces).count() == 0 and packing.plan.sequences == 0
+
+
+def test_table_has_every_prefix(documents, tokenizer, tokenizer_path, monkeypatch):
+    """Of long chunks and special strings too, and answers encode nothing."""
+    texts = [*TEXTS, "<|endoftext|>" * 3 + " a <|endo", "x" * 40 + "<|endoftext|>" + "  \n y'll 've", "ab" * 60 + "漢字é" * 20, "\n" * 40 + " \n", "http://" + "a1b2-c3_" * 20, None]
+    rows = {r["doc_id"]: r for r in token_prefixes(documents(texts), tokenizer_path).collect()}
+    for name in ("pieces", "prefix_counts"):
+        monkeypatch.setattr(type(encoder(tokenizer_path, "prefixes")), name, None)
+    for i, text in enumerate(texts):
+        text = text or ""
+        assert rows[i]["prefix_bytes"] == [len(text[:k].encode()) for k in range(len(text) + 1)] if len(text) < 5000 else True
+        asked = range(len(text) + 1) if len(text) <= 500 else range(0, len(text) + 1, 97)
+        want = {k: len(tokenizer.encode(text[:k], add_special_tokens=False).ids) for k in asked}
+        assert {k: rows[i]["prefix_tokens"][k] for k in asked} == want, text[:80]
+        table = PrefixCounts(text, rows[i]["prefix_bytes"], rows[i]["prefix_tokens"], tokenizer_path)
+        if len(text) <= 500:
+            for budget in range(max(want.values()) + 1):
+                assert table.longest_within(budget) == len(text[: max(k for k, c in want.items() if c <= budget)].encode())
