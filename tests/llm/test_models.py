@@ -110,6 +110,101 @@ def test_katz_query_has_all_bigrams(spark):
     assert [got[r["doc_id"]] for r in rows] == pytest.approx([w[3] for w in want], abs=1e-3)
 
 
+def katz_of_order(train, texts, order, k=5):
+    """Scores by grams of up to 1, 2, ... words, gram by gram."""
+    grams = [Counter() for _ in range(order + 1)]
+    padded = lambda t: [b"<s> ", *split(t)]
+    for t in train:
+        w = padded(t)
+        for m in range(1, order + 1):
+            grams[m].update(tuple(w[i : i + m]) for i in range(m == 1, len(w) - m + 1))
+    total = sum(grams[1].values())
+    cut = [None, *(lm_score.good_turing(Counter(c.values()), k) for c in grams[1:])]
+    p1 = {g: c * cut[1].get(c, 1.0) / total for g, c in grams[1].items()}
+    if 1 - sum(p1.values()) <= 1e-12:
+        p1 = {g: x * total / (total + 1) for g, x in p1.items()}
+    unknown = 1 - sum(p1.values())
+    after = defaultdict(Counter)
+    for m in range(2, order + 1):
+        for g, c in grams[m].items():
+            after[g[:-1]][g[-1]] = c
+    known = {}
+
+    def prob(h, w):
+        if (h, w) in known:
+            return known[h, w]
+        if not h:
+            return p1.get((w,), unknown)
+        found, d = after.get(h), cut[len(h) + 1]
+        if not found:
+            return prob(h[1:], w)
+        all_of, mass = sum(found.values()), sum(c * d.get(c, 1.0) for c in found.values())
+        scale = all_of + (mass >= all_of - 1e-9)
+        if w in found:
+            out = found[w] * d.get(found[w], 1.0) / scale
+        else:
+            out = (1 - mass / scale) / (1 - sum(prob(h[1:], x) for x in found)) * prob(h[1:], w)
+        known[h, w] = out
+        return out
+
+    for h in [h for h in after if len(h) == order - 1][:20]:  # exactly normalised over known words and the unknown one
+        assert math.isclose(sum(prob(h, w) for (w,) in grams[1]) + prob(h, b"unknown word"), 1, rel_tol=1e-9)
+    out = []
+    for t in texts:
+        w = padded(t)
+        out.append([sum(math.log10(prob(tuple(w[max(0, i - m + 1) : i]), w[i])) for i in range(1, len(w))) for m in range(1, order + 1)])
+    return out
+
+
+@pytest.mark.parametrize("order, flush, slot", [(3, 60, 30), (4, 4_000_000, 1_000_000)])
+def test_katz_backs_off_through_all_orders(documents, order, flush, slot):
+    train = [*TRAIN, *TRAIN, "the end is not seen twice", "a b a c", "x y z x y z x y", "b a b a c d"]
+    texts = [*train, "unknown words a b a", "é É", "x " * 300, "q r a b a d", "a b unknown a b a c", "a", "the end of it", "y z x y q"]
+    params = lm_score.KatzParams(flush=flush, slot=slot, order=order)
+    model = lm_score.train(documents(train), params)
+    assert model.order == order
+    want = katz_of_order(train, texts, order)
+    apart = lm_score.score(documents(texts), model, params).collect()
+    together = lm_score.train_and_score(documents(texts), F.col("doc_id") < len(train), params)[1].collect()
+    for rows in (apart, together):
+        got = {r["doc_id"]: r for r in rows}
+        assert len(got) == len(texts) and all(r["score"] == r["scores"][-1] for r in rows)
+        for i, scores in enumerate(want):
+            assert got[i]["scores"] == pytest.approx(scores, rel=1e-6)
+
+
+def test_katz_trigrams_after_hot_histories(documents):
+    train = ["of the a of the b of the c of the d", "of the a of the e", "by the a of the f", "of the", "the the the the of the a"] * 2
+    texts = [*train, "of the g of the a", "by the b", "the the the a", None]
+    params = lm_score.KatzParams(flush=10, order=3)
+    model, scored = lm_score.train_and_score(documents(texts), F.col("doc_id") < len(train), params, keep=False)
+    got = {r["doc_id"]: r["scores"] for r in scored.collect()}
+    assert len(model.levels[0].hot.hashes) > 0
+    with pytest.raises(ValueError):
+        lm_score.score(documents(texts), model, params)
+    want = katz_of_order(train, texts, 3)
+    assert all(got[i] == pytest.approx(scores, rel=1e-6) for i, scores in enumerate(want))
+
+
+def test_katz_query_has_trigrams(spark):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    held = lambda r: zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0
+    want = katz_of_order([r["text"] for r in rows if not held(r)], [r["text"] for r in rows], 3)
+    got = {r["doc_id"]: r for r in QUERIES["op8_katz_lm_score"](spark, SMALL).collect()}
+    assert [got[r["doc_id"]]["trigram_score"] for r in rows] == pytest.approx([w[2] for w in want], abs=1e-3)
+    assert [got[r["doc_id"]]["score"] for r in rows] == pytest.approx([w[1] for w in want], abs=1e-3)
+
+
+def test_katz_of_order_three_without_words(documents):
+    params = lm_score.KatzParams(order=3)
+    model = lm_score.train(documents([]), params)
+    assert lm_score.score(documents(["a", None]), model, params).count() == 2
+    rows = lm_score.train_and_score(documents([None, "", "a"]), F.col("doc_id") < 2, params)[1].collect()
+    assert sorted(r["n_tokens"] for r in rows) == [1, 1, 2] and all(math.isfinite(r["score"]) for r in rows)
+    with pytest.raises(ValueError):
+        lm_score.KatzParams(order=1)
+
+
 def test_katz_without_training_text(documents):
     model = lm_score.train(documents([]))
     assert lm_score.score(documents(["a"]), model).first()["n_known"] == 0

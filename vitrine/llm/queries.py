@@ -123,7 +123,7 @@ from rows group by conv_id
 def op8_katz_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
-    model, scored = lm_score.train_and_score(docs, ~held_out)
+    model, scored = lm_score.train_and_score(docs, ~held_out, lm_score.KatzParams(order=3), keep=False)
     return scored.select(
         "doc_id",
         held_out.alias("held_out"),
@@ -131,7 +131,8 @@ def op8_katz_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         "base_score",
-        "score",
+        F.col("scores")[1].alias("score"),
+        F.col("score").alias("trigram_score"),
     )
 
 
